@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, langid, licences, mixing, simhash, tokens, urlfilter
+from . import decontaminate, embeddings, langid, licences, mixing, simhash, substring, suffixdedup, tokens, urlfilter
 from .common import materialize, shared_dir, table
 
 
+def op1_substring(spark, sf_dir) -> DataFrame:
+    out = substring.remove_repeated_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_decontaminate(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -61,8 +64,21 @@ def op9_urls(spark, sf_dir) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_suffix_array(spark, sf_dir) -> DataFrame:
+    out = suffixdedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def pipeline(spark, sf_dir) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
+        "op1_substring": op1_substring, "op10_suffix_array": op10_suffix_array,
         "op2_decontaminate": op2_decontaminate, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op5_language": op5_language,
         "op6_embeddings": op6_embeddings, "op7_mixing": op7_mixing, "op8_licences": op8_licences, "op9_urls": op9_urls,
     }
