@@ -1,0 +1,74 @@
+"""Observations whose response is predicted perfectly, so that no finite estimate exists."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from . import linalg
+from .centering import center, with_effects
+
+
+def drop_separated(prep, fam):
+    """Rows of levels whose weighted mean response is 0 (or 1 for binary families) get weight zero by leaving, until none is left."""
+    df, start = prep.df, prep.df.count()
+    binary = fam.name in ("binomial", "probit")
+    while True:
+        before = df.count()
+        for f in prep.f:
+            mean = F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")
+            bad = df.groupBy(f).agg(mean.alias("_m")).where((F.col("_m") <= 0) | (F.lit(binary) & (F.col("_m") >= 1))).select(f)
+            df = df.join(bad, f, "left_anti")
+        df = df.persist()
+        left = df.count()
+        if left == before:
+            break
+    if left == start:
+        return prep, 0
+    if left == 0:
+        raise ValueError("all observations are separated.")
+    return replace(prep, df=df), start - left
+
+
+def relu_separated(prep, control, cells):
+    """Iterated rectifier: regress u (1 where y = 0) on the regressors and effects with a large weight where y > 0; u becomes the
+    positive part of the fit; rows with y = 0 whose fit stays positive are separated. No row state: u is a function of the last fit."""
+    df, p = prep.df, len(prep.names)
+    zero = F.col("_y") <= 0
+    if not df.where(zero).limit(1).count():
+        return prep, 0
+    heavy = 1 / np.sqrt(np.finfo(float).eps)
+    w = F.when(zero, F.lit(1.0)).otherwise(F.lit(float(heavy)))
+    means = np.array(df.agg(*[F.avg(c) for c in prep.x]).first(), float)
+    beta, effects, keys, bound = None, None, [], None
+    tight = replace(control, center_tol=1e-10)
+    for _ in range(control.sep_max_iter):
+        rows = df
+        if beta is not None:
+            rows = with_effects(df, prep.f, keys, [e[:, None] for e in effects], "_se", control)
+            fit = sum((F.lit(float(b)) * (F.col(c) - F.lit(float(m))) for b, c, m in zip(beta, prep.x, means, strict=True)), F.lit(0.0)) + F.col("_se0")
+            lo, hi, top = rows.agg(F.min(F.when(zero, fit)), F.max(F.when(zero, fit)), F.max(F.when(~zero, F.abs(fit)))).first()
+            if hi <= control.sep_zero_tol or lo >= -control.sep_zero_tol:
+                bound = rows.withColumn("_fit", fit), hi
+                break
+            u = F.when(zero, F.greatest(fit, F.lit(0.0))).otherwise(0.0)
+        else:
+            u = F.when(zero, F.lit(1.0)).otherwise(0.0)
+        found = center(rows, prep.f, [u, *[F.col(c) - F.lit(float(m)) for c, m in zip(prep.x, means, strict=True)]], w, tight, cells)
+        b, _ = linalg.solve(found.gram[1:, 1:], found.gram[1:, 0], control.collin_tol)
+        beta = np.nan_to_num(b)
+        keys, effects = found.keys, [a[:, 0] - a[:, 1:] @ beta for a in found.alpha]
+    if bound is None or bound[1] <= max(control.sep_tol, 1e-5):
+        return prep, 0
+    sep = zero & (F.col("_fit") > max(control.sep_tol, 1e-5))
+    kept = bound[0].where(~sep).drop("_fit", "_se0").persist()
+    n = kept.count()
+    return replace(prep, df=kept), df.count() - n
+
+
+def separated_levels(df, response: str, fe: str, weight: str | None = None):
+    """(level, n, mean) of the levels whose mean response is 0."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    return df.groupBy(F.col(fe).alias("level")).agg(F.count("*").alias("n"), (F.sum(w * F.col(response)) / F.sum(w)).alias("mean")).where("mean <= 0")
