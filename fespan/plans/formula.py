@@ -27,7 +27,7 @@ class ModelSpec:
         return list(dict.fromkeys([self.response, *(c for t in self.terms for c in t), *self.fe, *self.clusters]))
 
     def __str__(self) -> str:
-        rhs = " + ".join([":".join(t) for t in self.terms] + ([] if self.intercept else ["0"])) or ("1" if self.intercept else "0")
+        rhs = " + ".join([":".join(t) for t in self.terms] + ([] if self.intercept or self.fe else ["0"])) or ("1" if self.intercept else "0")
         parts = [rhs, " + ".join(self.fe), " + ".join(self.clusters)]
         while len(parts) > 1 and not parts[-1]:
             parts.pop()
