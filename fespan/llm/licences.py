@@ -47,7 +47,7 @@ def digest(text: F.Column) -> F.Column:
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     """(known_digest, license): one row for each known text; the table is a constant of this module or the caller's list."""
-    rows = spark.createDataFrame(list(known), "license string, text string")
+    rows = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in known])).alias("k")).select("k.*")
     return rows.select(digest(F.col("text")).alias("known_digest"), "license").groupBy("known_digest").agg(F.min("license").alias("license"))
 
 
