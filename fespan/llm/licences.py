@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import materialize, without
 
-AZ, az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Equivalent spellings (the right one is canonical), fixed values.
@@ -33,8 +32,8 @@ KNOWN = (
 
 
 def canonical(text: F.Column) -> F.Column:
-    """Lower case (A-Z), no copyright lines, words joined by one space, canonical spellings."""
-    t = F.regexp_replace(F.translate(text, AZ, az), COPYRIGHT, "\n")
+    """Lower case, no copyright lines, words joined by one space, canonical spellings."""
+    t = F.regexp_replace(F.lower(text), COPYRIGHT, "\n")
     t = F.concat(F.lit(" "), F.regexp_replace(t, PUNCTUATION, " "), F.lit(" "))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
@@ -60,12 +59,12 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     are replaced. The joins are equi-joins on digests; only lines that speak of a licence are hashed and joined.
     """
     known = known_digests(docs.sparkSession) if known is None else known
-    base = without(docs, "digest", "license", "notices", "known_digest")
+    base = without(docs, "digest", "license", "notices", "known_digest", "_lines")
     text = F.col(text_col)
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.translate(x, AZ, az).rlike("licen[sc]e"))
-    marked = base.withColumn("digest", digest(text))
-    found = marked.select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"), F.explode(F.array_distinct(lines)).alias("_line")).withColumn("known_digest", digest(F.col("_line"))).join(known, "known_digest")
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike("(?i)licen[sc]e"))
+    marked = materialize(base.withColumn("digest", digest(text)).withColumn("_lines", F.array_distinct(lines)).drop(text_col), "licences")
+    found = marked.select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"), F.explode("_lines").alias("_line")).withColumn("known_digest", digest(F.col("_line"))).join(known, "known_digest")
     notices = found.groupBy("_id", "_digest").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    out = marked.drop(text_col).join(known, F.col("digest") == F.col("known_digest"), "left").drop("known_digest")
+    out = marked.drop("_lines").join(known, F.col("digest") == F.col("known_digest"), "left").drop("known_digest")
     out = out.join(notices, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").drop("_id", "_digest")
     return out.withColumn("notices", F.coalesce("notices", F.lit("")))
