@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -69,6 +70,20 @@ def slices(off: np.ndarray, size: int):
         i = j
 
 
+def give_back() -> None:
+    """Return this Python worker's freed memory to the system: a worker lives on, and must not hold its last step's peak under the next one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def freed(out):
+    """out, after give_back(): for the result of a function whose locals are gone."""
+    give_back()
+    return out
+
+
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spanning stars (node, smallest node) of the graph with edges a-b; vectorised min-label hooking and pointer jumping."""
     if not len(a):

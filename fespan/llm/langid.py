@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, without
+from .common import give_back, slices, text_bytes, without
 
 #: Subwords are runs of 2, 3 and 4 bytes of the lower-cased text with a space before and after it.
 SIZES = (2, 3, 4)
@@ -154,6 +154,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", accep
                 yield b.filter(pa.array(~bad))
             else:
                 yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(b.num_columns)], pa.array(langs, pa.string()), pa.array(score), pa.array(bad)], names=[*b.schema.names, "lang_pred", "score", "rejected"])
+            give_back()
 
     from pyspark.sql.types import StructType
 

@@ -28,11 +28,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_bytes
+from .common import freed, give_back, materialize, slices, text_bytes
 
 #: Bytes of text behind one shard and in one cell; units of text handled at a time; symbols in one index.
-SHARD_BYTES = 40_000_000
-CELL_BYTES = 16_000_000
+SHARD_BYTES = 20_000_000
+CELL_BYTES = 8_000_000
 SLICE = 1 << 20
 INDEX_SYMBOLS = 1_000_000
 #: Stands for a null id: after all others, and equal to itself.
@@ -202,6 +202,8 @@ def _send_runs(batches, kind: Kind, shards: int):
             out["part"].append(part)
             out["blob"].append(pack(ids[who], tags[who], count.astype(np.uint32), _six(a, 5), _six(t, 6), np.ascontiguousarray(o.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)))
         yield _batch(out, "part blob")
+        del found, anchor, text, doc, ordinal, out, data
+        give_back()
 
 
 def _cell(ids: np.ndarray, cells: int) -> np.ndarray:
@@ -247,6 +249,8 @@ def _send_documents(batches, cells: int):
             out["cell"].append(cell)
             out["blob"].append(pack(ids[rows], tags[rows], off[rows + 1] - off[rows], b"".join(raw[off[r] : off[r + 1]] for r in rows)))
         yield _batch(out, "cell blob")
+        del raw, out, data
+        give_back()
 
 
 def _cell_documents(docs: pa.Table):
@@ -395,13 +399,13 @@ def remove_repeats(docs: DataFrame, kind: Kind, id_col: str = "doc_id", text_col
     size = work.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, cells = 1 + int(size // SHARD_BYTES), 1 + int(size // CELL_BYTES)
     sent = work.mapInArrow(lambda it: _send_runs(it, kind, shards), "part long, blob binary")
-    seen = materialize(sent.groupBy("part").applyInArrow(lambda t: _shard_runs(t, cells), "kind long, part long, cell long, blob binary"), "runs")
+    seen = materialize(sent.groupBy("part").applyInArrow(lambda t: freed(_shard_runs(t, cells)), "kind long, part long, cell long, blob binary"), "runs")
     parcels = work.mapInArrow(lambda it: _send_documents(it, cells), "cell long, blob binary")
     wants, marks = seen.where("kind = 0").select("part", "cell", "blob"), seen.where("kind = 1").select("part", "blob")
-    texts = parcels.groupBy("cell").cogroup(wants.groupBy("cell")).applyInArrow(lambda a, b: _send_texts(a, b, kind), "part long, blob binary")
-    answers = texts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(lambda a, b: _search(a, b, kind, cells), "cell long, blob binary")
+    texts = parcels.groupBy("cell").cogroup(wants.groupBy("cell")).applyInArrow(lambda a, b: freed(_send_texts(a, b, kind)), "part long, blob binary")
+    answers = texts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(lambda a, b: freed(_search(a, b, kind, cells)), "cell long, blob binary")
     answers = materialize(answers, "answers")
-    out = parcels.groupBy("cell").cogroup(answers.groupBy("cell")).applyInArrow(lambda a, b: _cut(a, b, kind), "id long, tag long, n_units long, n_removed long, n_spans long, kept binary")
+    out = parcels.groupBy("cell").cogroup(answers.groupBy("cell")).applyInArrow(lambda a, b: freed(_cut(a, b, kind)), "id long, tag long, n_units long, n_removed long, n_spans long, kept binary")
     return out.withColumn("id", F.when(F.col("id") != LAST, F.col("id")))
 
 

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, local_forest, materialize, slices, text_bytes, without
+from .common import connected_components, give_back, local_forest, materialize, slices, text_bytes, without
 
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 #: Bytes of text hashed at a time.
@@ -103,6 +103,7 @@ def _fingerprint_batches(batches, text_col: str, shingle: int, seed: int):
             fp[i:j] = fingerprints([raw[off[k] : off[k + 1]] for k in range(i, j)], shingle, seed)
         names = [n for n in b.schema.names if n != text_col]
         yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(fp.view(np.int64))], names=[*names, "fp"])
+        give_back()
 
 
 def _pairs(batches, radius: int):
