@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,18 @@ from pyspark.sql import functions as F
 #: Token rule shared by several operators: maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes in one Arrow batch between the JVM and a Python worker; Spark's own bound (64 MB) is held several times over on both sides.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding its session's Arrow batches by BATCH_BYTES (a smaller bound stays); groups still arrive whole, in more batches."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", conf.get(name, "").strip())
+    if not now or int(now[1]) > BATCH_BYTES:
+        conf.set(name, BATCH_BYTES)
+    return df
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, slices, text_bytes, without
+from .common import give_back, slices, small_batches, text_bytes, without
 
 #: Subwords are runs of 2, 3 and 4 bytes of the lower-cased text with a space before and after it.
 SIZES = (2, 3, 4)
@@ -134,7 +134,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", accep
     so does every row if there is no model (no labelled row). accepted_only: only the rows not rejected, columns unchanged.
     The model (its size is fixed by BUCKET_BITS and the number of languages) is broadcast. Columns named like results are replaced.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     base = docs if accepted_only else without(docs, "lang_pred", "score", "rejected")
     sent = spark.sparkContext.broadcast(model)
 

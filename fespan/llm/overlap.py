@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, give_back, materialize, slices, text_bytes
+from .common import freed, give_back, materialize, slices, small_batches, text_bytes
 
 #: Bytes of text behind one shard and in one cell; units of text handled at a time; symbols in one index.
 SHARD_BYTES = 20_000_000
@@ -395,7 +395,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, id_col: str = "doc_id", text_col
     A unit goes if it is covered by a window whose units also begin in a document of smaller id, judged on the input. Null text
     counts as empty; a null id is larger than all others; rows that repeat an id are never earlier than each other.
     """
-    work = docs.select(F.col(id_col).cast("long").alias("id"), tag_of(text_col).alias("tag"), F.col(text_col).alias("text"))
+    work = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), tag_of(text_col).alias("tag"), F.col(text_col).alias("text"))
     size = work.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, cells = 1 + int(size // SHARD_BYTES), 1 + int(size // CELL_BYTES)
     sent = work.mapInArrow(lambda it: _send_runs(it, kind, shards), "part long, blob binary")

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, give_back, local_forest, materialize, slices, text_bytes, without
+from .common import connected_components, give_back, local_forest, materialize, slices, small_batches, text_bytes, without
 
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 #: Bytes of text hashed at a time.
@@ -176,7 +176,7 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     Equal fingerprints are one node, so groups of copies cost one row; ties and repeated rows fall into one component; a null id
     never names a component that has another. Columns named like results are replaced.
     """
-    rest = without(docs, "fingerprint", "component_id", "fp")
+    rest = without(small_batches(docs), "fingerprint", "component_id", "fp")
     marked = materialize(rest.mapInArrow(lambda it: _fingerprint_batches(it, text_col, shingle, seed), _fp_schema(rest, text_col)), "simhash")
     nodes = marked.groupBy("fp").agg(F.min(id_col).alias("_least"))
     roots = connected_components(link_fingerprints(nodes.select("fp"), radius))
