@@ -54,7 +54,7 @@ def suffix_order(texts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
         left = np.clip(length[todo] - t, 0, 8)
         mask = np.where(left == 0, np.uint64(0), ~np.uint64(0) << (np.uint64(8) * (8 - np.maximum(left, 1)).astype(np.uint64)))
         part = keys[np.minimum(col[todo] + t, wide + 15), row[todo]] & mask
-        order = np.lexsort((part, group[todo])) if t else np.argsort(part, kind="stable")
+        order = np.lexsort((part, group[todo])) if t else np.argsort(part)
         todo, part = todo[order], part[order]
         old = group[todo]
         head = np.concatenate([[True], old[1:] != old[:-1]])
@@ -76,13 +76,14 @@ def suffix_order(texts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
         repeats[i[same]] = repeats[j[same]] + 1
         follow[i[same]] = follow[j[same]]
     # emission
-    members = np.argsort(group, kind="stable")
+    members = np.argsort(group)
     starts = np.flatnonzero(np.concatenate([[True], np.diff(group[members]) > 0]))
     sizes = np.diff(np.append(starts, n))
-    number = np.searchsorted(starts, group)
+    number = np.empty(n, np.int64)
+    number[members] = np.repeat(np.arange(len(starts)), sizes)
     waits = np.where(follow < n, number[np.minimum(follow, n - 1)], len(starts))
-    by_wait = np.argsort(waits, kind="stable")
-    wait_head = np.searchsorted(waits[by_wait], np.arange(len(starts) + 2))
+    by_wait = np.argsort(waits)
+    wait_head = np.concatenate([[0], np.cumsum(np.bincount(waits, minlength=len(starts) + 1))])
     missing = np.bincount(number[waits < len(starts)], minlength=len(starts))
     rank = np.full(n + 1, 0, np.int64)
     ready = np.flatnonzero(missing == 0)
@@ -91,7 +92,7 @@ def suffix_order(texts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
     while len(ready):
         own = members[_ranges(starts[ready], sizes[ready])]
         key = (group[own] << (bits + 7)) | (np.minimum(repeats[own], 127) << bits) | rank[follow[own]]
-        own = own[np.argsort(key, kind="stable")]
+        own = own[np.argsort(key)]
         spot = _ranges(starts[np.sort(ready)], sizes[np.sort(ready)])
         final[spot] = own
         rank[own] = spot + 1

@@ -34,7 +34,7 @@ from .common import freed, give_back, materialize, slices, small_batches, text_b
 SHARD_BYTES = 20_000_000
 CELL_BYTES = 8_000_000
 SLICE = 1 << 20
-INDEX_SYMBOLS = 1_000_000
+INDEX_SYMBOLS = 400_000
 #: Stands for a null id: after all others, and equal to itself.
 LAST = np.iinfo(np.int64).max
 MULT = 0x9E3779B97F4A7C15
