@@ -22,7 +22,7 @@ BATCH_BYTES = 4 << 20
 def small_batches(df: DataFrame) -> DataFrame:
     """df, after bounding its session's Arrow batches by BATCH_BYTES (a smaller bound stays); groups still arrive whole, in more batches."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(\d+)b?", conf.get(name, "").strip())
+    now = re.fullmatch(r"(\d+)b?", conf.get(name).strip())
     if not now or int(now[1]) > BATCH_BYTES:
         conf.set(name, BATCH_BYTES)
     return df
