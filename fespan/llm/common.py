@@ -91,6 +91,14 @@ def give_back() -> None:
         trim(0)
 
 
+def keep_freed() -> None:
+    """Reuse freed arrays inside this Python worker instead of mapping new pages for each; give_back() returns them after a step."""
+    setting = getattr(ctypes.CDLL(None), "mallopt", None)  # glibc only
+    if setting is not None:
+        setting(-3, 1 << 25)  # M_MMAP_THRESHOLD
+        setting(-1, 1 << 28)  # M_TRIM_THRESHOLD
+
+
 def freed(out):
     """out, after give_back(): for the result of a function whose locals are gone."""
     give_back()

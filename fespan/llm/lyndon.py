@@ -43,8 +43,8 @@ def suffix_order(texts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
             at = nxt[at, who].astype(np.int64)
     col, row = np.nonzero(np.arange(wide)[:, None] < size[None])
     n = len(col)
-    place = np.full((wide + 1, rows), n, np.int64)  # of a suffix in the lists; n: the empty one
-    place[col, row] = np.arange(n)
+    place = np.full((wide + 1, rows), n, np.int32)  # of a suffix in the lists; n: the empty one
+    place[col, row] = np.arange(n, dtype=np.int32)
     ends = nxt[col, row].astype(np.int64)
     length = ends - col
     # groups: start (rank of the first member) by eight bytes of the prefix at a time
@@ -76,13 +76,13 @@ def suffix_order(texts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
         repeats[i[same]] = repeats[j[same]] + 1
         follow[i[same]] = follow[j[same]]
     # emission
-    members = np.argsort(group)
+    members = np.argsort(group.astype(np.int32))
     starts = np.flatnonzero(np.concatenate([[True], np.diff(group[members]) > 0]))
     sizes = np.diff(np.append(starts, n))
     number = np.empty(n, np.int64)
     number[members] = np.repeat(np.arange(len(starts)), sizes)
     waits = np.where(follow < n, number[np.minimum(follow, n - 1)], len(starts))
-    by_wait = np.argsort(waits)
+    by_wait = np.argsort(waits.astype(np.int32))
     wait_head = np.concatenate([[0], np.cumsum(np.bincount(waits, minlength=len(starts) + 1))])
     missing = np.bincount(number[waits < len(starts)], minlength=len(starts))
     rank = np.full(n + 1, 0, np.int64)

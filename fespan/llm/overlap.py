@@ -28,13 +28,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, give_back, materialize, slices, small_batches, text_bytes
+from .common import freed, give_back, keep_freed, materialize, slices, small_batches, text_bytes
 
 #: Bytes of text behind one shard and in one cell; units of text handled at a time; symbols in one index.
 SHARD_BYTES = 20_000_000
 CELL_BYTES = 8_000_000
-SLICE = 1 << 20
-INDEX_SYMBOLS = 400_000
+SLICE = 1 << 18
+INDEX_SYMBOLS = 100_000
 #: Stands for a null id: after all others, and equal to itself.
 LAST = np.iinfo(np.int64).max
 MULT = 0x9E3779B97F4A7C15
@@ -189,7 +189,8 @@ def _documents(batches, size: int):
 
 
 def _send_runs(batches, kind: Kind, shards: int):
-    for ids, tags, data, off in _documents(batches, 8 * SLICE):
+    keep_freed()
+    for ids, tags, data, off in _documents(batches, 32 * SLICE):
         found = []
         for i, j in slices(off, SLICE):
             values, uoff, _, _ = units(kind, data[off[i] : off[j]], off[i : j + 1] - off[i])
@@ -290,6 +291,7 @@ def _located(kind: Kind, docs: pa.Table, ids: np.ndarray, tags: np.ndarray, ordi
 
 def _send_texts(docs: pa.Table, wants: pa.Table, kind: Kind) -> pa.Table:
     """The texts that the shards ask a cell for."""
+    keep_freed()
     out = {"part": [], "blob": []}
     if docs.num_rows and wants.num_rows:
         parts = wants.column("part").to_numpy()
@@ -313,6 +315,7 @@ def _send_texts(docs: pa.Table, wants: pa.Table, kind: Kind) -> pa.Table:
 
 def _search(texts: pa.Table, marks: pa.Table, kind: Kind, cells: int) -> pa.Table:
     """Index the texts of a shard; tell each occurrence which of its windows (a bit each) begin in an earlier document."""
+    keep_freed()
     out = {"cell": [], "blob": []}
     if texts.num_rows and marks.num_rows:
         ids, tags, ordinal, run, owner, group = unpack(marks.column("blob")[0].as_py())
@@ -354,6 +357,7 @@ def _search(texts: pa.Table, marks: pa.Table, kind: Kind, cells: int) -> pa.Tabl
 
 def _cut(docs: pa.Table, answers: pa.Table, kind: Kind) -> pa.Table:
     """The results of a cell's documents: (id, tag, units, removed, spans, kept)."""
+    keep_freed()
     cols: dict[str, list] = {"id": [], "tag": [], "n_units": [], "n_removed": [], "n_spans": [], "kept": []}
     if answers.num_rows:
         ids, tags, ordinal, mask = (np.concatenate(x) for x in zip(*(unpack(x.as_py()) for x in answers.column("blob")), strict=True))
