@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, langid, licences, mixing, simhash, substring, suffixdedup, tokens, urlfilter
+from . import decontaminate, embeddings, langid, licences, mixing, simhash, sql, substring, suffixdedup, tokens, urlfilter
 from .common import materialize, shared_dir, table
 
 
@@ -85,4 +85,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring": sql.OP1_SUBSTRING, "op2_decontaminate": sql.OP2_DECONTAMINATE}
