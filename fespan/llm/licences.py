@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, without
 
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A line that is a copyright notice, after optional comment marks: a year, (c) or a capitalised holder follows the word, or it
+#: only reserves all rights. Other lines that begin with the word, as wrapped licence texts have them, stay.
+COPYRIGHT = (
+    r"(^|\n)[ \t#*;%/!|>-]*(?:<!--[ \t]*|(?i:dnl|rem)[ \t]+)?"
+    r"(?:(?:(?i:(?:portions[ \t]+)?copyright(?:ed)?)[ \t:,]*(?:(?i:by)[ \t]+)?(?:(?i:\(c\)|©|&copy;|[<\[{(]?(?:yyyy|year)\b)|[<\[{(]?(?:19|20)[0-9]{2}\b)"
+    r"|(?i:\(c\)|&copy;)[ \t,]*(?:(?i:copyright)\b|(?:19|20)[0-9]{2}\b)|©"
+    r"|Copyright[ \t:]+(?:by[ \t]+)?(?!(?i:licen[sc]e|notice|holder|owner|law|act|office|right|interest|and|or|statement|treat)(?i:s|y|ies|ed)?\b)\p{Lu})[^\n]*"
+    r"|(?i:all rights reserved)[ \t.!*/\r]*(?=\n|\z))"
+)
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Equivalent spellings (the right one is canonical), fixed values.
 SPELLINGS = (
@@ -16,7 +27,19 @@ SPELLINGS = (
     ("fulfil", "fulfill"), ("initialise", "initialize"), ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"), ("modelled", "modeled"), ("noncommercial", "non commercial"),
     ("organisation", "organization"), ("organise", "organize"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
 )
-#: Known texts, fixed values: whole licences and the usual one-line notices.
+#: Titles that stand over licences, besides the first paragraph of the file in licence_texts.
+TITLES = {
+    "MIT": ("The MIT License (MIT)", "The MIT License", "MIT License (MIT)", "MIT", "(The MIT License)", "The MIT License (Expat)", "The Expat License"),
+    "ISC": ("The ISC License", "The ISC License (ISC)", "ISC License (ISC)", "ISC"),
+    "BSD-2-Clause": ("The BSD 2-Clause License", "The 2-Clause BSD License", "BSD-2-Clause License", "BSD-2-Clause", "Simplified BSD License", "The BSD License", "BSD License"),
+    "BSD-3-Clause": ("The BSD 3-Clause License", "The 3-Clause BSD License", "BSD-3-Clause License", "BSD-3-Clause", "New BSD License", "Modified BSD License", "The BSD License", "BSD License"),
+    "Zlib": ("The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "Unlicense": ("Unlicense",),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0"),
+}
+#: What licence files may leave out at the end: the closing line and instructions for use.
+TAIL = re.compile(r"(\n\s*END OF TERMS AND CONDITIONS)?\n\s*(APPENDIX:|Appendix:|ADDENDUM:|How to Apply These Terms)")
+#: Known texts, fixed values: whole licences and the usual one-line notices; standard_texts() adds the files.
 KNOWN = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
@@ -33,7 +56,7 @@ KNOWN = (
 
 def canonical(text: F.Column) -> F.Column:
     """Lower case, no copyright lines, words joined by one space, canonical spellings."""
-    t = F.regexp_replace(F.lower(text), COPYRIGHT, "\n")
+    t = F.lower(F.regexp_replace(text, COPYRIGHT, "\n"))
     t = F.concat(F.lit(" "), F.regexp_replace(t, PUNCTUATION, " "), F.lit(" "))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
@@ -44,9 +67,32 @@ def digest(text: F.Column) -> F.Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(known_digest, license): one row for each known text; the table is a constant of this module or the caller's list."""
-    rows = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in known])).alias("k")).select("k.*")
+def standard_texts() -> list[tuple[str, list[str], list[str], list[str]]]:
+    """(license, titles, bodies, tails) of each file in licence_texts, <license>.txt or <license>~<variant>.txt; each title, body
+    and tail make a text. Title and tail may be missing; items may be numbered or not."""
+    out = []
+    for f in sorted(files(__package__).joinpath("licence_texts").iterdir(), key=lambda f: f.name):
+        name = f.name.removesuffix(".txt").split("~")[0]
+        title, _, body = f.read_text(encoding="utf-8").strip().partition("\n\n")
+        m = TAIL.search(body)
+        cut, tails = (body[: m.start()], {"", m[1] or "", body[m.start() :]}) if m else (body, {""})
+        bodies = {cut, re.sub(r"(?m)^[0-9][.] |^[ \t]*\([a-z]\) ", "", cut), re.sub(r"(?m)^[ \t]*\([a-z]\) ", "", cut)} if name in TITLES else {cut}
+        out.append((name, ["", title, *TITLES.get(name, ())], sorted(bodies), sorted(tails)))
+    return out
+
+
+def known_digests(spark: SparkSession, known=None) -> DataFrame:
+    """(known_digest, license): one row for each known text. known: a list of (license, text), or by default KNOWN and
+    standard_texts(), their links with http and https."""
+    parts = [(n, [""], [t], [""]) for n, t in known] if known is not None else [(n, [""], [t], [""]) for n, t in KNOWN] + standard_texts()
+
+    def strings(x):
+        return F.array(*[F.lit(v) for v in x])
+
+    rows = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(n).alias("license"), strings(a).alias("a"), strings(b).alias("b"), strings(c).alias("c")) for n, a, b, c in parts])).alias("k")).select("k.*")
+    rows = rows.withColumn("a", F.explode("a")).withColumn("b", F.explode("b")).withColumn("c", F.explode("c")).select("license", F.concat("a", F.lit("\n"), "b", "c").alias("text"))
+    if known is None:
+        rows = rows.select("license", F.explode(F.array("text", F.replace("text", F.lit("https://"), F.lit("http://")), F.replace("text", F.lit("http://"), F.lit("https://")))).alias("text"))
     return rows.select(digest(F.col("text")).alias("known_digest"), "license").groupBy("known_digest").agg(F.min("license").alias("license"))
 
 

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -259,3 +261,28 @@ def test_tokens(spark, docs, rows, tmp_path):
     left = {k: [v[0], v[1] + 2 * v[0] * (k[0] == "a")] for k, v in want.items() if k[0] is not None}
     assert get() == left and roll.batches() == ["b1", "b2"]
     assert hashlib.sha256(b"").hexdigest() == decontaminate.digest(None)
+
+
+def test_licences_standard_files(spark):
+    """Whole licence files, with and without title, notices, comment marks, numbers, at several line widths."""
+    body = {n: t for n, t in licences.KNOWN[:2]}["MIT"]
+    wrapped = body.replace(" COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS").replace("The above copyright", "The above\ncopyright")
+    mit = [
+        "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + body, "The MIT License (MIT)\n\nCopyright 2019-2020 A. Body <a@b.c>\nAll rights reserved.\n\n" + wrapped, wrapped,
+        "# Copyright The Example Authors\n#\n" + "\n".join("# " + x for x in wrapped.split("\n")), "/*\n * © Somebody\n * (c) 2020 Somebody else\n */\n" + body,
+    ]
+    want = [("MIT", t) for t in mit]
+    for f in sorted((Path(licences.__file__).parent / "licence_texts").iterdir()):
+        name, text = f.name.removesuffix(".txt").split("~")[0], f.read_text()
+        want += [(name, text), (name, text.strip().partition("\n\n")[2]), (name, text.replace("https://", "http://"))]
+        if name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Apache-2.0", "MPL-2.0"):
+            want += [(name, "\n\n".join(p if "[yyyy]" in p else textwrap.fill(p, w, break_long_words=False) for p in re.split(r"\n\s*\n", text))) for w in (30, 41, 60, 72)]
+        if name.startswith("BSD"):
+            want.append((name, "BSD License\n\nCopyright (c) 2001, A\n" + re.sub(r"(?m)^[0-9]\. ", "* ", text.partition("\n\n")[2])))
+        if "END OF TERMS" in text:
+            want += [(name, text[: text.index("END OF TERMS")]), (name, text[: text.index("END OF TERMS")] + "END OF TERMS AND CONDITIONS\n")]
+    assert {n for n, _ in want} >= {"GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "Apache-2.0", "MIT", "ISC"}
+    want += [(None, "Copyright law protects it"), (None, wrapped.replace("COPYRIGHT HOLDERS BE", "COPYRIGHT HOLDERS NOT BE"))]
+    t = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(want)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licences.scan(t).collect()}
+    assert [(i, got[i]) for i in sorted(got)] == [(i, n) for i, (n, _) in enumerate(want)]
