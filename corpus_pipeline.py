@@ -18,8 +18,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies, the document with the smallest id; one of a group without ids stays too."""
+    return simhash.keep_one(docs, null_ids=True)
 
 
 def passages_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

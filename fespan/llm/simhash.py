@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, give_back, local_forest, materialize, slices, small_batches, text_bytes, without
@@ -176,8 +176,7 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     Equal fingerprints are one node, so groups of copies cost one row; ties and repeated rows fall into one component; a null id
     never names a component that has another. Columns named like results are replaced.
     """
-    rest = without(small_batches(docs), "fingerprint", "component_id", "fp")
-    marked = materialize(rest.mapInArrow(lambda it: _fingerprint_batches(it, text_col, shingle, seed), _fp_schema(rest, text_col)), "simhash")
+    marked = _marked(without(docs, "fingerprint", "component_id", "fp"), text_col, shingle, seed)
     nodes = marked.groupBy("fp").agg(F.min(id_col).alias("_least"))
     roots = connected_components(link_fingerprints(nodes.select("fp"), radius))
     root = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
@@ -185,14 +184,30 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     return marked.join(linked, "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))).drop("fp")
 
 
+def _marked(rest: DataFrame, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """rest with fp instead of the text, written once."""
+    return materialize(small_batches(rest).mapInArrow(lambda it: _fingerprint_batches(it, text_col, shingle, seed), _fp_schema(rest, text_col)), "simhash")
+
+
 def _fp_schema(df: DataFrame, text_col: str):
     from pyspark.sql.types import LongType, StructField, StructType
 
     return StructType([*[f for f in df.schema.fields if f.name != text_col], StructField("fp", LongType())])
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One document of each group of near copies: the row with the group's smallest id. Columns are unchanged."""
-    found = simhash(docs.select(id_col, text_col), id_col, text_col, **how)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42, null_ids: bool = False) -> DataFrame:
+    """One row of each group of near copies: the one with the least id (nulls last), of those the one with the least hash of the
+    text, of rows equal in both any one. Columns are unchanged. Rows meet their choice by id and text, nulls included, not by id alone.
+    null_ids: groups without any id keep a row too; by default they go, as a caller who counts on ids expects."""
+    key = "_key"
+    while any(c.lower().startswith(key) for c in docs.columns):
+        key += "_"
+    keys = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    marked = _marked(docs.select(keys.alias("key"), F.col(text_col).alias("text")), "text", shingle, seed)
+    nodes = marked.groupBy("fp").agg(F.min("key").alias("key"))
+    roots = connected_components(link_fingerprints(nodes.select("fp"), radius))
+    best = nodes.join(roots, nodes.fp == roots.node, "left").groupBy(F.coalesce("root", "fp")).agg(F.min("key").alias("key"))
+    best = best if null_ids else best.where(~F.col("key.none"))
+    kept = docs.withColumn(key, keys).join(best.select(F.col("key").alias(key)), key, "left_semi")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(key))  # over 1 only for repeated rows; the join's order serves
+    return kept.withColumn(f"{key}n", place).where(F.col(f"{key}n") == 1).drop(key, f"{key}n")

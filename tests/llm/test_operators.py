@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -128,6 +129,26 @@ def test_simhash(docs, rows, empty, monkeypatch, tile_rows):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {w[2] for w in want if w[2] is not None}
 
 
+def test_keep_one_rows(spark, rows):
+    """Exactly one row of each group: null ids, repeated rows, one id with several texts."""
+    mixed = [*rows, (None, "another quite lonely text", "en", "b", 5, None, 2), (None, "another quite lonely text", "en", "b", 5, None, 2), (None, rows[2][1], None, "a", 1, "x", 1)]
+    mixed += [(700 + i, f"text number {i} of its own kind {i * i}", "en", "a", 1, "x", 1) for i in range(3)] + [(3, "text number 1 of its own kind 1", "en", "a", 1, "x", 1), (3, "quite some other words here", "fr", "a", 1, "x", 1)]
+    fps = [fingerprint(r[1]) for r in mixed]
+    cl = classes(len(mixed), [(i, j) for i in range(len(mixed)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 2])
+    best = {}
+    for i, r in enumerate(mixed):
+        best.setdefault(cl[i], []).append(r)
+    kept = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(mixed, DOCS.replace("Spans", "_Row")).repartition(5), null_ids=True).collect()]
+    at = {r: cl[i] for i, r in enumerate(mixed)}
+    assert sorted(at[r] for r in kept) == sorted(best)
+    for r in kept:
+        ids = [x[0] for x in best[at[r]] if x[0] is not None]
+        assert r[0] == min(ids, default=None)
+    assert sum(r[0] is None for r in kept) == 2
+    stage = [tuple(r) for r in corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(mixed, DOCS), "").collect()]
+    assert sorted(stage, key=str) == sorted(kept, key=str)
+
+
 def test_simhash_tiles(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 20)
