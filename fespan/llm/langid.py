@@ -16,8 +16,9 @@ from .common import give_back, slices, small_batches, text_bytes, without
 SIZES = (2, 3, 4)
 BUCKET_BITS = 15
 DIM = 16
-#: Bound of the training sample: rows, and bytes of a text that may serve for training.
+#: Bounds of the training sample: rows in all, rows of each language that are taken first, and about as many bytes of a text.
 SAMPLE_ROWS = 4000
+LANG_ROWS = 200
 SAMPLE_TEXT_BYTES = 16_000
 SLICE = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
@@ -106,15 +107,47 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model | None:
-    """Train on a sample of about `rows` rows: those of least hashed (id, text) among the rows with text of 1 to SAMPLE_TEXT_BYTES
-    bytes and a language. The share is cut by hash value, so only the sample reaches the driver, whatever the partitions."""
-    ok = labelled.where(F.col(lang_col).isNotNull() & F.octet_length(text_col).between(1, SAMPLE_TEXT_BYTES))
-    ok = ok.withColumn("_h", F.xxhash64(F.col(id_col).cast("string"), text_col, F.lit(11)))
-    n = ok.count()
-    limit = (1 << 63) - 1 if n <= rows else int((rows / n - 0.5) * 2.0**64)
-    got = sorted(ok.where(F.col("_h") <= limit).select("_h", text_col, lang_col).dropDuplicates().collect())[:rows]
-    return train([(r[1], r[2]) for r in got]) if got else None
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int = SAMPLE_ROWS, lang_rows: int = LANG_ROWS, text_bytes: int = SAMPLE_TEXT_BYTES) -> Model | None:
+    """Train on a sample of the rows with a text and a language: the `rows` rows of least hashed (id, text), or nearly as many, and of
+    every language at least the first `lang_rows` rows (`rows` / languages if that is less, all if it has fewer). A text serves with
+    its first characters, `text_bytes` bytes at most. Shares are cut by hash value, for each language, so only the sample reaches
+    the driver, whatever the partitions."""
+    ok = labelled.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), text_col, F.lit(11)).alias("h"), F.col(text_col).alias("text"))
+    sizes = {r[0]: r[1] for r in ok.groupBy("lang").count().collect()}
+    n = sum(sizes.values())
+    if not n:
+        return None
+
+    def cut(take: int, have: int) -> int:
+        """The hash value under which about `take` of `have` rows lie."""
+        return (1 << 63) - 1 if have <= take else int((take / have - 0.5) * 2.0**64)
+
+    least = min(lang_rows, max(1, rows // len(sizes)))
+    want = least + int(10 * least**0.5) + 10  # ten deviations more, as a hash cut takes only about the rows asked for
+    rare = {k: cut(want, v) for k, v in sizes.items() if v * rows < want * n}
+    limit = F.lit(cut(rows, n))
+    if rare:
+        own = F.create_map(*[F.lit(x) for k, v in rare.items() for x in (k, v)])
+        limit = F.greatest(limit, F.coalesce(own[F.col("lang")], limit))
+    short = F.when(F.octet_length("text") <= text_bytes, F.col("text")).otherwise(F.substring("text", 1, text_bytes))
+    got = sorted(ok.where(F.col("h") <= limit).select("h", short.alias("text"), "lang").dropDuplicates().collect())
+    return train(_balanced([(r[0], _clipped(r[1], text_bytes), r[2]) for r in got], rows, least))
+
+
+def _clipped(text: str, size: int) -> str:
+    raw = text.encode("utf-8", "surrogatepass")
+    return text if len(raw) <= size else raw[:size].decode("utf-8", "ignore")
+
+
+def _balanced(got: list[tuple[int, str, str]], rows: int, lang_rows: int) -> list[tuple[str, str]]:
+    """(text, lang) of the first `rows` rows and of the first `lang_rows` of each language."""
+    seen: dict[str, int] = {}
+    out = []
+    for i, (_, text, lang) in enumerate(got):
+        seen[lang] = seen.get(lang, 0) + 1
+        if i < rows or seen[lang] <= lang_rows:
+            out.append((text, lang))
+    return out
 
 
 def predict(texts: list[str | None], raw: list[bytes], model: Model | None) -> tuple[list[str], np.ndarray]:

@@ -138,7 +138,7 @@ def test_keep_one_rows(spark, rows):
     best = {}
     for i, r in enumerate(mixed):
         best.setdefault(cl[i], []).append(r)
-    kept = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(mixed, DOCS.replace("Spans", "_Row")).repartition(5), null_ids=True).collect()]
+    kept = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(mixed, DOCS.replace("Spans", "_Key")).repartition(5), null_ids=True).collect()]
     at = {r: cl[i] for i, r in enumerate(mixed)}
     assert sorted(at[r] for r in kept) == sorted(best)
     for r in kept:
@@ -174,6 +174,29 @@ def test_language(spark, docs, empty):
     assert langid.fit(empty) is None and langid.identify(empty, model).count() == 0
 
 
+def test_language_sample(spark):
+    """A rare language and one with long texts only are learned; the sample stays bounded."""
+    words = {"en": "the and of to in that was with", "fr": "le la des et une dans pour que", "de": "der die und das nicht ein mit von", "pl": "jest nie się że na do był przez"}
+    rng = random.Random(4)
+
+    def text(lang, n):
+        return " ".join(rng.choice(words[lang].split()) for _ in range(n))
+
+    rows = [(i, text("en" if i % 2 else "fr", 20), "en" if i % 2 else "fr") for i in range(3000)] + [(3000 + i, text("pl", 20), "pl") for i in range(6)] + [(4000 + i, text("de", 5000), "de") for i in range(30)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(langid, "train", lambda got, real=langid.train: seen.append(got) or real(got))
+        model = langid.fit(t, rows=200, lang_rows=25, text_bytes=2000)
+    count = Counter(lang for _, lang in seen[0])
+    assert model.langs == ["de", "en", "fr", "pl"] and count["pl"] == 6 and count["de"] >= 25 and 150 < len(seen[0]) < 260
+    assert max(len(x.encode()) for x, _ in seen[0]) <= 2000
+    only = langid.fit(t.where("lang = 'de'"))
+    assert only is not None and only.langs == ["de"]
+    odd = spark.createDataFrame([(1, text("pl", 40)), (2, text("de", 40))], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.identify(odd, langid.fit(t)).orderBy("doc_id").collect()][1] == "de"
+
+
 @pytest.mark.parametrize("tile_rows", [16384, 7])
 def test_embeddings(spark, monkeypatch, tile_rows):
     monkeypatch.setattr(embeddings, "TILE_ROWS", tile_rows)
