@@ -1,4 +1,4 @@
-"""Families as column expressions over eta, y and w; the same formulas hold for numpy arrays where the driver needs them."""
+"""Families as formulas over eta, y and w, which may be Spark columns or arrays."""
 
 from __future__ import annotations
 
@@ -57,17 +57,39 @@ def phi_cdf(x: pd.Series) -> pd.Series:
     return pd.Series(norm_cdf(x.to_numpy(float)))
 
 
-def phi_pdf(x: Column) -> Column:
-    return F.exp(-x * x / 2) / F.lit(float(np.sqrt(2 * np.pi)))
+def _col(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(float(x))
 
 
-def _clip(x: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+class OnColumns:
+    """The functions that families need, over columns."""
+
+    exp, log, sqrt, abs, isnan, cdf = (staticmethod(f) for f in (F.exp, F.log, F.sqrt, F.abs, F.isnan, phi_cdf))
+    most = staticmethod(lambda a, b: F.greatest(_col(a), _col(b)))
+    least = staticmethod(lambda a, b: F.least(_col(a), _col(b)))
+    where = staticmethod(lambda c, a, b: F.when(c, a).otherwise(b))
+    no = staticmethod(lambda like: F.lit(False))
+
+
+class OnArrays:
+    """The same functions over arrays."""
+
+    exp, log, sqrt, abs, isnan, cdf = (staticmethod(f) for f in (np.exp, np.log, np.sqrt, np.abs, np.isnan, norm_cdf))
+    most, least, where = (staticmethod(f) for f in (np.maximum, np.minimum, np.where))
+    no = staticmethod(lambda like: np.zeros(np.shape(like), bool))
+
+
+def _on(x):
+    return OnColumns if isinstance(x, Column) else OnArrays
+
+
+def norm_density(x):
+    return _on(x).exp(-x * x / 2) * float(1 / np.sqrt(2 * np.pi))
 
 
 @dataclass(frozen=True)
 class Family:
-    """name and parameters; methods give columns. theta: of the negative binomial; lb, ub, sigma: of the tobit model."""
+    """name and parameters; methods take columns or arrays alike. theta: of the negative binomial; lb, ub, sigma: of the tobit model."""
 
     name: str
     theta: float = 1.0
@@ -75,14 +97,11 @@ class Family:
     ub: float = np.inf
     sigma: float = 1.0
 
-    @property
-    def needs_cdf(self) -> bool:
-        return self.name in ("probit", "tobit")
-
-    def mu(self, eta: Column) -> Column:
+    def mu(self, eta):
+        m = _on(eta)
         return {
-            "poisson": F.exp, "negbin": F.exp, "binomial": lambda e: F.lit(1.0) / (F.lit(1.0) + F.exp(-e)), "probit": phi_cdf,
-            "gamma": lambda e: F.lit(1.0) / e, "inverse.gaussian": lambda e: F.lit(1.0) / F.sqrt(e),
+            "poisson": m.exp, "negbin": m.exp, "binomial": lambda e: 1.0 / (1.0 + m.exp(-e)), "probit": m.cdf,
+            "gamma": lambda e: 1.0 / e, "inverse.gaussian": lambda e: 1.0 / m.sqrt(e),
         }.get(self.name, lambda e: e)(eta)
 
     def link(self, mean: float) -> float:
@@ -96,9 +115,9 @@ class Family:
             return float(np.log(mean + 0.1))
         return float(mean)
 
-    def working(self, eta: Column, mu: Column, y: Column, w: Column) -> tuple[Column, Column]:
+    def working(self, eta, mu, y, w):
         """(working weight, working residual)."""
-        n = self.name
+        m, n = _on(eta), self.name
         if n == "poisson":
             return w * mu, (y - mu) / mu
         if n == "negbin":
@@ -107,48 +126,51 @@ class Family:
             v = mu * (1 - mu)
             return w * v, (y - mu) / v
         if n == "probit":
-            d = F.greatest(phi_pdf(eta), F.lit(EPS))
-            return w * d * d / F.greatest(mu * (1 - mu), F.lit(EPS)), (y - mu) / d
+            d = m.most(norm_density(eta), EPS)
+            return w * d * d / m.most(mu * (1 - mu), EPS), (y - mu) / d
         if n == "gamma":
             return w * mu * mu, -(y - mu) / (mu * mu)
         if n == "inverse.gaussian":
-            return w * F.pow(mu, 3) / 4, -2 * (y - mu) / F.pow(mu, 3)
+            return w * mu * mu * mu / 4, -2 * (y - mu) / (mu * mu * mu)
         if n == "tobit":
             return self._tobit(mu, y, w)
         return w, y - mu
 
-    def censored(self, y: Column) -> tuple[Column, Column]:
-        side = lambda b: (F.abs(y - F.lit(float(b))) < EPS) if np.isfinite(b) else F.lit(False)
+    def censored(self, y):
+        m = _on(y)
+        side = lambda b: (m.abs(y - float(b)) < EPS) if np.isfinite(b) else m.no(y)
         return side(self.lb), side(self.ub)
 
     def _tobit(self, mu, y, w):
-        s = self.sigma
+        m, s = _on(mu), self.sigma
         left, right = self.censored(y)
-        a = (F.lit(float(self.lb if np.isfinite(self.lb) else 0)) - mu) / s
-        b = (F.lit(float(self.ub if np.isfinite(self.ub) else 0)) - mu) / s
-        la, lb = phi_pdf(a) / F.greatest(phi_cdf(a), F.lit(EPS)), phi_pdf(b) / F.greatest(phi_cdf(-b), F.lit(EPS))
-        da, db = F.greatest(la * (la + a), F.lit(EPS)), F.greatest(lb * (lb - b), F.lit(EPS))
-        weight = F.when(left, w * da / s**2).when(right, w * db / s**2).otherwise(w / s**2)
-        return weight, F.when(left, -la * s / da).when(right, lb * s / db).otherwise(y - mu)
-
-    def deviance(self, mu: Column, y: Column) -> Column:
+        a = (float(self.lb if np.isfinite(self.lb) else 0) - mu) / s
+        b = (float(self.ub if np.isfinite(self.ub) else 0) - mu) / s
+        la, lb = norm_density(a) / m.most(m.cdf(a), EPS), norm_density(b) / m.most(m.cdf(-b), EPS)
+        da, db = m.most(la * (la + a), EPS), m.most(lb * (lb - b), EPS)
+        weight = m.where(left, w * da / s**2, m.where(right, w * db / s**2, w / s**2))
+        return weight, m.where(left, -la * s / da, m.where(right, lb * s / db, y - mu))
+
+    def deviance(self, mu, y):
         """Deviance of a row of weight one."""
-        n, one = self.name, F.lit(1.0)
+        m, n = _on(y), self.name
         if n == "poisson":
-            return 2 * (y * F.log(F.greatest(y, one) / mu) - (y - mu))
+            return 2 * (y * m.log(m.most(y, 1.0) / mu) - (y - mu))
         if n == "negbin":
-            return 2 * (y * F.log(F.greatest(y, one) / mu) - (y + self.theta) * F.log((y + self.theta) / (mu + self.theta)))
+            return 2 * (y * m.log(m.most(y, 1.0) / mu) - (y + self.theta) * m.log((y + self.theta) / (mu + self.theta)))
         if n in ("binomial", "probit"):
-            c, m = _clip(y, EPS, 1 - EPS), _clip(mu, EPS, 1 - EPS)
-            return 2 * (y * F.log(c / m) + (1 - y) * F.log((1 - c) / (1 - m)))
+            inside = lambda x: m.least(m.most(x, EPS), 1 - EPS)
+            c, p = inside(y), inside(mu)
+            return 2 * (y * m.log(c / p) + (1 - y) * m.log((1 - c) / (1 - p)))
         if n == "gamma":
-            return -2 * (F.log(F.greatest(y / mu, F.lit(EPS))) - (y - mu) / mu)
+            return -2 * (m.log(m.most(y / mu, EPS)) - (y - mu) / mu)
         if n == "inverse.gaussian":
             return (y - mu) * (y - mu) / (y * mu * mu)
         return (y - mu) * (y - mu)
 
-    def valid(self, eta: Column, mu: Column) -> Column:
-        ok = ~F.isnan(eta) & ~F.isnan(mu) & (F.abs(eta) < float("inf")) & (F.abs(mu) < float("inf"))
+    def valid(self, eta, mu):
+        m = _on(eta)
+        ok = ~m.isnan(eta) & ~m.isnan(mu) & (m.abs(eta) < float("inf")) & (m.abs(mu) < float("inf"))
         if self.name in ("poisson", "negbin"):
             return ok & (mu > 0)
         if self.name == "gamma":

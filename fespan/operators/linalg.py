@@ -49,3 +49,49 @@ def coef_table(beta: np.ndarray, vcov: np.ndarray) -> np.ndarray:
         se = np.sqrt(np.diag(vcov))
         z = beta / se
     return np.column_stack([beta, se, z, erfc(np.abs(z) / np.sqrt(2))])
+
+
+def widest_cone(z: np.ndarray, iter_max: int, tol: float = 1e-8) -> np.ndarray | None:
+    """d with z d >= 0, and z_i d >= 1 for each row i that any such d makes positive; None if there is no such row.
+
+    By the dual linear programme: the most rows that a non-negative combination of rows equal to zero can hold, that is
+    max sum(s) with z'(s + t) = 0, 0 <= s <= 1, t >= 0; a row without support is one that d makes positive, and the multipliers of
+    the equalities are d. Bounded simplex steps with the first eligible column; the basis has as many rows as z has columns.
+    """
+    n, q = z.shape
+    z = np.where(np.abs(z) <= tol, 0.0, z)
+    a = np.concatenate([z.T, z.T, np.eye(q)], axis=1)
+    cost = np.concatenate([np.ones(n), np.zeros(n + q)])
+    upper = np.concatenate([np.ones(n), np.full(n, np.inf), np.zeros(q)])
+    basis, at_upper, value = list(range(2 * n, 2 * n + q)), np.zeros(2 * n + q, bool), np.zeros(q)
+    inside = np.zeros(2 * n + q, bool)
+    inside[basis] = True
+    y = np.zeros(q)
+    for _ in range(iter_max):
+        b = a[:, basis]
+        y = np.linalg.solve(b.T, cost[basis])
+        gain = cost - y @ a
+        ready = np.flatnonzero(~inside & np.where(at_upper, gain < -1e-9, (gain > 1e-9) & (upper > 0)))
+        if not len(ready):
+            break
+        j = int(ready[0])
+        sign = -1.0 if at_upper[j] else 1.0
+        slope = sign * np.linalg.solve(b, a[:, j])  # basics fall by slope times the step
+        with np.errstate(divide="ignore", invalid="ignore"):
+            room = np.where(slope > 1e-12, value / slope, np.where(slope < -1e-12, (value - upper[basis]) / slope, np.inf))
+        room = np.maximum(room, 0.0)
+        least = float(room.min(initial=np.inf))
+        if upper[j] <= least:
+            if not np.isfinite(upper[j]):
+                break
+            value = value - slope * upper[j]
+            at_upper[j] = not at_upper[j]
+            continue
+        out = min((i for i in range(q) if room[i] <= least + 1e-12), key=lambda i: basis[i])
+        value = value - slope * least
+        gone = basis[out]
+        inside[gone], at_upper[gone] = False, bool(slope[out] < 0 and np.isfinite(upper[gone]))
+        value[out] = (upper[j] if at_upper[j] else 0.0) + sign * least
+        basis[out], inside[j], at_upper[j] = j, True, False
+    fit = z @ y
+    return y if fit.max(initial=0) > 0.5 and fit.min(initial=0) >= -1e-6 else None

@@ -1,5 +1,5 @@
-"""Estimators: linear and generalized linear models with fixed effects. A driver loop holds (beta, level effects); every pass over
-the data is one Spark aggregation over cached rows, and no per-row state is carried from one pass to the next."""
+"""Estimators: linear and generalized linear models with fixed effects. A driver loop holds the coefficients; each pass runs in an
+engine (arrays or Spark, see engine), and no state of a row is carried from one pass to the next."""
 
 from __future__ import annotations
 
@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 
 from ..functions.families import Family, family as family_of
 from ..plans.control import FitControl, merged
-from ..plans.formula import parse
+from ..plans.formula import ModelSpec, parse
 from . import linalg
-from .centering import center, count_cells, with_effects
+from .centering import warn_unsettled
+from .engine import State, released, rows_of, separate
 from .prepare import Prepared, prepare
 from .results import Result
-from .separation import drop_separated, relu_separated
-from .vcov import sandwich
 
 VCOV = ("iid", "hetero", "cluster", "m-estimator", "dyadic", "two-way", "twoway")
+#: Relative change of the deviance that is noise of summation.
+NOISE = 1e-9
 
 
 def _vcov_kind(given: str | None, control: FitControl, spec) -> str:
@@ -34,53 +35,43 @@ def _start(formula, data, weights, offset, control) -> tuple[Prepared, FitContro
     if not isinstance(data, DataFrame):
         raise TypeError("'data' has to be a DataFrame.")
     control = merged(control)
-    return prepare(data, parse(formula, data.columns), weights, offset), control
-
-
-def _scores(prep: Prepared, rows: DataFrame, x: list[str], means: np.ndarray, keys, alpha, control, residual) -> tuple[DataFrame, list[str]]:
-    """rows with one score column for each regressor: centred regressor times response residual (prior weights not included)."""
-    if prep.f:
-        rows = with_effects(rows, prep.f, keys, alpha, "_ax", control)
-    cols = {f"_s{j}": (F.col(c) - F.lit(float(means[j])) - (F.col(f"_ax{j}") if prep.f else F.lit(0.0))) * residual for j, c in enumerate(x)}
-    return rows.select(*prep.c, *[v.alias(k) for k, v in cols.items()]), list(cols)
+    return prepare(data, formula if isinstance(formula, ModelSpec) else parse(formula, data.columns), weights, offset), control
 
 
 def felm(formula, data: DataFrame, weights=None, vcov: str | None = None, control=None) -> Result:
     """Linear model with fixed effects, by least squares on centred columns."""
     prep, control = _start(formula, data, weights, None, control)
-    kind = _vcov_kind(vcov, control, prep.spec)
-    df, p, w = prep.df, len(prep.names), F.col("_w")
-    r = df.agg(F.avg("_y"), *[F.avg(c) for c in prep.x], F.sum("_w"), F.sum(F.col("_w") * F.col("_y"))).first()
-    means = np.array(r[: p + 1], float) if prep.f else np.zeros(p + 1)
-    ybar = r[p + 2] / r[p + 1] if r[p + 1] else 0.0
-    v = [F.col(c) - F.lit(float(m)) for c, m in zip(["_y", *prep.x], means, strict=True)]
-    found = center(df, prep.f, v, w, control, count_cells(df, prep.f))
+    kind, p = _vcov_kind(vcov, control, prep.spec), len(prep.names)
+    rows = rows_of(prep, control, kind not in ("iid", "hetero"))
+    ybar, means = rows.moments() if prep.f else (0.0, np.zeros(p))
+    found = rows.linear(ybar, means)
+    warn_unsettled(found)
     gram = found.gram
     beta, keep = linalg.solve(gram[1:, 1:], gram[1:, 0], control.collin_tol)
     b = np.where(keep, beta, 0.0)
-    effects = [a[:, 0] - a[:, 1:] @ b for a in found.alpha]
+    effects = [a.combined([1.0, *(-b)]) for a in found.levels]
     if effects:
-        effects[0] = effects[0] + means[0] - means[1:] @ b
-    ssr = max(gram[0, 0] - 2 * b @ gram[1:, 0] + b @ gram[1:, 1:] @ b, 0.0)
-    tss = df.agg(F.sum(w * (F.col("_y") - ybar) * (F.col("_y") - ybar))).first()[0]
-    n, params = prep.nobs, p + sum(len(k) - 1 for k in found.keys)
+        effects[0] = effects[0].shifted(ybar - float(means @ b))
+    ssr, tss = max(gram[0, 0] - 2 * b @ gram[1:, 0] + b @ gram[1:, 1:] @ b, 0.0), rows.total()
+    n, params = prep.nobs, p + sum(a.count() - 1 for a in effects)
     r2 = 1 - ssr / tss if tss else float("nan")
     stats = {"r_squared": r2, "adj_r_squared": 1 - (1 - r2) * (n - 1) / max(1, n - params), "vcov": kind, "sweeps": found.sweeps, "ssr": ssr}
-    out = Result("felm", prep.spec, control, Family("gaussian"), prep.names, beta, None, kind, prep, found.keys, effects, {"nobs_full": prep.nobs_full, "nobs_na": prep.nobs_full - n, "nobs_separated": 0, "nobs_pc": 0, "nobs": n}, stats, weights, None, data if control.keep_data else None)
-    at = np.flatnonzero(keep)
-    h = gram[1:, 1:][np.ix_(at, at)]
+    nobs = {"nobs_full": prep.nobs_full, "nobs_na": prep.nobs_full - n, "nobs_separated": 0, "nobs_pc": 0, "nobs": n}
+    fam, at = Family("gaussian"), np.flatnonzero(keep)
+    out = Result("felm", prep.spec, control, fam, prep.names, beta, None, kind, prep, effects, nobs, stats, weights, None, data if control.keep_data else None)
+    h_inv, alpha_x = linalg.inverse(gram[1:, 1:][np.ix_(at, at)]), [a.picked([1 + j for j in at]) for a in found.levels]
     if kind == "iid":
-        cov = ssr / max(1, n - p) * linalg.inverse(h)
+        cov = ssr / max(1, n - p) * h_inv
     else:
-        x = [prep.x[j] for j in at]
-        scores, s = _scores(prep, out.rows(), x, means[1:][at], found.keys, [a[:, 1:][:, at] for a in found.alpha], control, F.col("_y") - F.col("_mu"))
-        cov = sandwich(kind, linalg.inverse(h), scores, prep.c, s)
+        cov = rows.meat(kind, h_inv, fam, State(b, effects or None), at, means, alpha_x)
     out.vcov_matrix = linalg.expand(cov, keep)
+    out.at, out.means, out.alpha_x, out.vcov_given = at, means, alpha_x, vcov
+    released(rows)
     return out
 
 
 def _check_response(prep: Prepared, fam: Family) -> None:
-    lo, hi = prep.df.agg(F.min("_y"), F.max("_y")).first()
+    lo, hi = prep.y_range
     if fam.name in ("binomial", "probit") and (lo < 0 or hi > 1):
         raise ValueError("Model response must be within [0,1].")
     if fam.name in ("gamma", "inverse.gaussian") and lo <= 0:
@@ -97,7 +88,11 @@ def feglm(formula, data: DataFrame, family="gaussian", weights=None, vcov: str |
         fam = replace(fam, lb=control.tobit_lb, ub=control.tobit_ub)
     kind = _vcov_kind(vcov, control, prep.spec)
     _check_response(prep, fam)
-    return _irls(prep, fam, control, kind, data, weights, offset, beta_start, eta_start)
+    rows = rows_of(prep, control, kind not in ("iid", "hetero"))
+    out = _irls(rows, prep, fam, control, kind, data, weights, offset, beta_start, eta_start)
+    out.vcov_given = vcov
+    released(rows)
+    return out
 
 
 def fepoisson(formula, data, **how) -> Result:
@@ -112,106 +107,95 @@ def fetobit(formula, data, tobit_lb: float = -np.inf, tobit_ub: float = np.inf,
     return feglm(formula, data, family="tobit", control=merged(control, tobit_lb=tobit_lb, tobit_ub=tobit_ub), **how)
 
 
-class _State:
-    """beta, level effects (as differences from nothing: None until the first step) and the constant start of eta."""
-
-    def __init__(self, beta, effects, const):
-        self.beta, self.effects, self.const = beta, effects, const
-
-    def eta(self, prep: Prepared, effect) -> F.Column:
-        total = F.col("_o") + F.lit(float(self.const))
-        for b, c in zip(self.beta, prep.x, strict=True):
-            if b:
-                total = total + F.lit(float(b)) * F.col(c)
-        return total + effect if self.effects is not None else total
-
-
-def _with_states(prep: Prepared, keys, states: list[_State], control) -> DataFrame:
-    """Prepared rows with _eta0, _eta1, ...: one join for each effect serves all states."""
-    df, have = prep.df, [s for s in states if s.effects is not None]
-    if prep.f and have:
-        df = with_effects(df, prep.f, keys, [np.stack([s.effects[k] for s in have], axis=1) for k in range(len(prep.f))], "_st", control)
-    place = {id(s): i for i, s in enumerate(have)}
-    return df.withColumns({f"_eta{i}": s.eta(prep, F.col(f"_st{place[id(s)]}") if prep.f and id(s) in place else F.lit(0.0)) for i, s in enumerate(states)})
-
-
-def _irls(prep, fam, control, kind, data, weights, offset, beta_start=None, eta_start=None) -> Result:
-    removed = 0
-    if control.check_separation and prep.f and fam.name in ("poisson", "negbin", "binomial", "probit"):
-        prep, removed = drop_separated(prep, fam)
-    df, f, p = prep.df, prep.f, len(prep.names)
-    cells = count_cells(df, f)
-    if control.check_separation and f and fam.name == "poisson" and p and control.sep_use_relu:
-        prep, more = relu_separated(prep, control, cells)
-        removed += more
-        df = prep.df
-    r = df.agg(F.avg("_y"), *[F.avg(c) for c in prep.x]).first()
-    ybar, means = r[0], np.array(r[1:], float) if f else np.zeros(p)
+def fit_matrix(data: DataFrame, y: str, x_cols: list[str], fe: list[str] = (), clusters: list[str] = (), intercept: bool = False, family="gaussian", **how) -> Result:
+    """A model of columns that are a design matrix already: no formula is read, each column of x_cols is a regressor."""
+    return feglm(ModelSpec(y, tuple((c,) for c in x_cols), tuple(fe), tuple(clusters), intercept and not fe), data, family=family, **how)
+
+
+def fit_offset(fit: Result, offset, data: DataFrame | None = None) -> Result:
+    """The fixed effects of a fitted model's family alone, given an offset (an expression) that holds all the rest."""
+    data = fit.data if data is None else data
+    if data is None:
+        raise ValueError("fit_offset needs keep_data or data.")
+    spec = replace(fit.spec, terms=(), clusters=(), intercept=fit.spec.intercept)
+    return feglm(spec, data, family=fit.family, weights=fit.weights, offset=offset, vcov="iid", control=replace(fit.control, vcov_type=None, compute_apes=False, compute_bias_corr=False))
+
+
+def _mixed(old: State, new: State, rho: float) -> State:
+    """The state a step of length rho from old to new leads to."""
+    if rho == 1:
+        return new
+    beta = (1 - rho) * old.beta + rho * new.beta
+    if new.effects is None:
+        return State(beta, None, (1 - rho) * old.const + rho * new.const)
+    base = old.effects or [a.constant(old.const if k == 0 else 0.0) for k, a in enumerate(new.effects)]
+    return State(beta, [a.mixed(b, rho) for a, b in zip(base, new.effects, strict=True)])
+
+
+def _irls(rows, prep, fam, control, kind, data, weights, offset, beta_start=None, eta_start=None, begin: State | None = None, quiet: bool = False) -> Result:
+    f, p = prep.f, len(prep.names)
+    ybar, means = rows.moments()
+    if not f:
+        means = np.zeros(p)
+    removed, separators = 0, []
+    if control.check_separation and f and begin is None and fam.name in ("poisson", "negbin", "binomial", "probit"):
+        removed, separators = separate(rows, fam, means, control)
+        if removed >= prep.nobs:
+            raise ValueError("all observations are separated.")
     beta = np.zeros(p) if beta_start is None else np.asarray(beta_start, float)
-    state = _State(beta, None, fam.link(ybar) if eta_start is None else float(eta_start))
-    keys: list[np.ndarray] = []
-    y, w, keep, warm, found, conv, dev = F.col("_y"), F.col("_w"), None, None, None, False, None
-    best_control = replace(control, center_tol=min(control.center_tol, 1e-9))
-    it = 0
+    state = begin or State(beta, None, fam.link(ybar) if eta_start is None else float(eta_start))
+    keep, warm, found, conv, dev, it = None, None, None, False, None, 0
+    # effects are centred loosely while coefficients move, and to the full tolerance before a fit may end
+    best, crit = min(control.center_tol, 1e-8), 1.0
+    tol = max(best, 1e-4)
     for it in range(1, control.iter_max + 1):
-        rows = _with_states(prep, keys, [state], control)
         if fam.name == "tobit":
-            left, right = fam.censored(y)
-            s = rows.where(~left & ~right).agg(F.avg((y - F.col("_eta0")) * (y - F.col("_eta0")))).first()[0]
-            fam = replace(fam, sigma=float(np.sqrt(s)) if s and s > 0 else 1.0)
-        rows = rows.withColumn("_mu0", fam.mu(F.col("_eta0")))
-        ww, nu = fam.working(F.col("_eta0"), F.col("_mu0"), y, w)
-        rows = rows.withColumn("_ww", ww).withColumn("_z", F.col("_eta0") + nu - F.col("_o"))
-        fine = F.col("_ww").isNotNull() & F.col("_z").isNotNull() & ~F.isnan("_ww") & ~F.isnan("_z") & (F.abs("_ww") < float("inf")) & (F.abs("_z") < float("inf"))
+            s = rows.sigma(fam, state)
+            fam = replace(fam, sigma=s if s > 0 else 1.0)
         use = list(range(p)) if keep is None else np.flatnonzero(keep).tolist()
-        v = [F.when(fine, F.col("_z")).otherwise(0.0), *[F.col(prep.x[j]) - F.lit(float(means[j])) for j in use]]
-        found = center(rows, f, v, F.when(fine, F.col("_ww")).otherwise(0.0), best_control, cells, warm)
-        keys, warm = found.keys, found.alpha or None
+        found = rows.working(fam, state, use, means, tol, warm)
         b, ok = linalg.solve(found.gram[1:, 1:], found.gram[1:, 0], control.collin_tol)
         if keep is None:
             keep = ok
             use = np.flatnonzero(keep).tolist()
-            if not keep.all() and found.alpha:
-                warm = [a[:, [0, *[1 + j for j in use]]] for a in found.alpha]
-                found.alpha = warm
             if not keep.all():
                 g = [0, *[1 + j for j in use]]
-                found.gram = found.gram[np.ix_(g, g)]
+                found.levels, found.gram = [a.picked(g) for a in found.levels], found.gram[np.ix_(g, g)]
             b = b[keep]
-        full = np.zeros(p)
-        full[use] = np.nan_to_num(b)
-        effects = [a[:, 0] - a[:, 1:] @ np.nan_to_num(b) for a in found.alpha] if f else None
+        warm = found.levels or None
+        b, full = np.nan_to_num(b), np.zeros(p)
+        full[use] = b
+        effects = [a.combined([1.0, *(-b)]) for a in found.levels] if f else None
         if f:
-            effects[0] = effects[0] - means[use] @ full[use]
-        new = _State(full, effects, 0.0)
-        state, dev, gain, crit = _step(prep, fam, control, keys, state, new, dev)
-        if not gain or crit < control.dev_tol * (1 + 1e-10):
+            effects[0] = effects[0].shifted(-float(means[use] @ b))
+        new = State(full, effects)
+        state, dev, moved, crit = _step(rows, fam, control, state, new, dev)
+        if tol <= best and (not moved or crit < control.dev_tol * (1 + 1e-10)):
             conv = True
             break
-    out_beta = np.where(keep, state.beta, np.nan) if keep is not None else state.beta
-    effects = state.effects if state.effects is not None else [np.full(len(k), state.const / max(1, len(f))) for k in keys]
-    n = prep.nobs
-    out = Result("feglm", prep.spec, control, fam, prep.names, out_beta, None, kind, prep, keys, effects or [], {"nobs_full": prep.nobs_full, "nobs_na": prep.nobs_full - n, "nobs_separated": removed, "nobs_pc": 0, "nobs": n}, {"deviance": dev, "conv": conv, "iter": it, "vcov": kind}, weights, offset, data if control.keep_data else None)
-    at = np.flatnonzero(keep)
-    h = found.gram[1:, 1:]
-    h_inv = linalg.inverse(h) if len(at) else np.zeros((0, 0))
-    rows = out.rows()
-    null = fam.deviance(F.lit(float(ybar)), y)
-    extra = [F.sum(w * null)] + ([F.corr("_y", "_mu")] if fam.name == "poisson" else [])
-    got = rows.agg(*extra).first()
-    out.stats["null_deviance"] = got[0]
+        if not moved:
+            tol = best
+        else:
+            tol = best if crit < 1e-3 or tol <= best else max(best, min(tol, crit * 1e-3))
+    warn_unsettled(found)
+    out_beta = np.where(keep, state.beta, np.nan)
+    effects = state.effects if state.effects is not None else [a.constant(state.const if k == 0 else 0.0) for k, a in enumerate(found.levels)]
+    n, at, h = prep.nobs, np.flatnonzero(keep), found.gram[1:, 1:]
+    nobs = {"nobs_full": prep.nobs_full, "nobs_na": prep.nobs_full - n, "nobs_separated": removed, "nobs_pc": 0, "nobs": n}
+    stats = {"deviance": dev, "conv": conv, "iter": it, "vcov": kind}
+    out = Result("feglm", prep.spec, control, fam, prep.names, out_beta, None, kind, prep, effects, nobs, stats, weights, offset, data if control.keep_data else None, separators)
+    null, corr = rows.summary(fam, state, ybar)
+    stats["null_deviance"] = null
     if fam.name == "poisson":
-        out.stats["pseudo_r_squared"] = got[1] ** 2 if got[1] is not None else float("nan")
-    alpha_x = [a[:, 1:] for a in found.alpha]
-    if kind == "iid" or not len(at):
-        cov = h_inv
-    else:
-        scores, s = _scores(prep, rows, [prep.x[j] for j in at], means[at], keys, alpha_x, control, y - F.col("_mu"))
-        cov = sandwich(kind, h_inv, scores, prep.c, s)
+        stats["pseudo_r_squared"] = corr**2
+    alpha_x = [a.picked(list(range(1, 1 + len(at)))) for a in found.levels]
+    out.at, out.means, out.alpha_x, out.state = at, means, alpha_x, state
+    h_inv = linalg.inverse(h) if len(at) else np.zeros((0, 0))
+    cov = h_inv if kind == "iid" or not len(at) else rows.meat(kind, h_inv, fam, state, at, means, alpha_x)
     out.vcov_matrix = linalg.expand(cov, keep)
     if control.return_hessian:
-        out.stats["hessian"] = linalg.expand(h, keep)
-    if removed:
+        stats["hessian"] = linalg.expand(h, keep)
+    if removed and not quiet:
         warnings.warn(f"Separation detected: {removed} observation(s) with perfect prediction were excluded.", stacklevel=3)
     if fam.name == "binomial" and (control.compute_apes or control.compute_bias_corr):
         from .partial_effects import average_partial_effects, bias_correction
@@ -223,45 +207,26 @@ def _irls(prep, fam, control, kind, data, weights, offset, beta_start=None, eta_
     return out
 
 
-def _step(prep, fam, control, keys, old: _State, new: _State, dev0):
-    """The longest step rho = 1, factor, factor^2, ... that lowers the deviance enough; many rho share one aggregation.
+def _step(rows, fam, control, old: State, new: State, dev0):
+    """The longest step rho = 1, factor, factor^2, ... that does not raise the deviance beyond noise; many rho share one pass.
 
-    Returns (state, deviance, whether a step was taken, convergence criterion)."""
-    rows = _with_states(prep, keys, [old, new], control)
-    a, b, y, w = F.col("_eta0"), F.col("_eta1"), F.col("_y"), F.col("_w")
+    Returns (state, deviance, whether a step was taken, change of the coefficients and of the linear predictor, relative)."""
     tried, rhos = 0, [1.0]
-    while tried < control.iter_inner_max:
-        want = {"d": [], "v": []}
-        for rho in rhos:
-            eta = a + F.lit(rho) * (b - a) if rho != 1 else b
-            mu = fam.mu(eta)
-            want["d"].append(F.sum(F.when(w > 0, w * fam.deviance(mu, y)).otherwise(0.0)))
-            want["v"].append(F.min((fam.valid(eta, mu) | (w <= 0)).cast("int")))
-        start = [F.sum(F.when(w > 0, w * fam.deviance(fam.mu(a), y)).otherwise(0.0))] if dev0 is None else []
-        r = rows.agg(F.sum(a * a), F.sum(a * (b - a)), F.sum((b - a) * (b - a)), *want["d"], *want["v"], *start).first()
+    while tried < control.iter_inner_max and rhos:
+        (aa, ad, dd, n), before, dev, ok = rows.compare(fam, old, new, rhos)
         if dev0 is None:
-            dev0 = r[-1] if r[-1] is not None and np.isfinite(r[-1]) else np.inf
-        for i, rho in enumerate(rhos):
-            d, ok = r[3 + i], r[3 + len(rhos) + i]
-            better = d is not None and np.isfinite(d) and ok == 1 and (not np.isfinite(dev0) or (d - dev0) / (0.1 + abs(d)) <= -control.dev_tol)
-            if better:
-                beta = (1 - rho) * old.beta + rho * new.beta
-                if old.effects is None:
-                    base = [np.full(len(k), old.const / len(keys)) for k in keys] if keys else None
-                else:
-                    base = old.effects
-                effects = [(1 - rho) * x + rho * z for x, z in zip(base, new.effects, strict=True)] if new.effects is not None else None
-                state = _State(beta, effects, (1 - rho) * old.const if not keys else 0.0)
-                moved = np.linalg.norm(beta - old.beta)
-                size = np.linalg.norm(beta)
-                if not len(beta):
-                    moved, size = np.sqrt(max(rho * rho * r[2], 0)), np.sqrt(max(r[0] + 2 * rho * r[1] + rho * rho * r[2], 0))
-                return state, d, True, moved / max(size, np.finfo(float).eps)
+            dev0 = before if np.isfinite(before) else np.inf
+        for rho, d, valid in zip(rhos, dev, ok, strict=True):
+            if valid and np.isfinite(d) and (not np.isfinite(dev0) or d - dev0 <= NOISE * (0.1 + abs(d))):
+                state = _mixed(old, new, rho)
+                size = np.sqrt(max(aa + 2 * rho * ad + rho * rho * dd, 0.0) / max(n, 1.0))
+                crit = rho * np.sqrt(max(dd, 0.0) / max(n, 1.0)) / max(size, 0.1)
+                if len(state.beta):
+                    crit = max(crit, float(np.linalg.norm(state.beta - old.beta) / max(np.linalg.norm(state.beta), np.finfo(float).eps)))
+                return state, d, True, crit
         tried += len(rhos)
         last = rhos[-1]
-        rhos = [last * control.step_halving_factor ** (k + 1) for k in range(min(8, control.iter_inner_max - tried))]
-        if last * control.step_halving_factor < 1e-6 or not rhos:
-            break
+        rhos = [last * control.step_halving_factor ** (k + 1) for k in range(min(8, control.iter_inner_max - tried)) if last * control.step_halving_factor ** (k + 1) > 1e-6]
     if old.effects is None and new.effects is not None:
         return new, dev0, False, 0.0
     return old, dev0, False, 0.0
@@ -276,13 +241,35 @@ def estimate_theta(df: DataFrame, response: str) -> float:
 
 
 def fenegbin(formula, data: DataFrame, weights=None, beta_start=None, eta_start=None, init_theta: float | None = None, link: str = "log", offset=None, vcov: str | None = None, control=None) -> Result:
-    """Negative binomial model: theta by moments of the response, coefficients by reweighted least squares given theta."""
-    if link != "log":
-        raise ValueError("only the log link is supported.")
+    """Negative binomial model. A Poisson fit starts it; then coefficients given theta, and theta by moments of the response, in turn
+    until both settle. init_theta starts theta. link names the link that the model reports; the fit's link is the logarithm."""
+    if link not in ("log", "identity", "sqrt"):
+        raise ValueError("'link' should be one of 'log', 'identity', 'sqrt'.")
     prep, control = _start(formula, data, weights, offset, control)
+    init_theta = control.init_theta if init_theta is None else init_theta
+    if init_theta is None or isinstance(init_theta, bool) or not isinstance(init_theta, (int, float)) or init_theta < 0:
+        raise ValueError("'init_theta' has to be a positive number.")
     _check_response(prep, Family("negbin"))
-    theta = estimate_theta(prep.df, "_y")
-    out = _irls(prep, Family("negbin", theta=theta), control, _vcov_kind(vcov, control, prep.spec), data, weights, offset, beta_start, eta_start)
-    out.kind = "fenegbin"
-    out.stats |= {"theta": theta, "iter_outer": 1, "conv_outer": True}
+    kind = _vcov_kind(vcov, control, prep.spec)
+    rows = rows_of(prep, control, kind not in ("iid", "hetero"))
+    how = (control, kind, data, weights, offset)
+    out = _irls(rows, prep, Family("poisson"), control, "iid", data, weights, offset, beta_start, eta_start, quiet=True)
+    removed, separators = out.nobs["nobs_separated"], out.separators
+    moments = estimate_theta(prep.df, "_y")
+    theta, settled, rounds = float(init_theta) or moments, False, 0
+    if out.stats["conv"]:
+        for rounds in range(1, control.iter_max + 1):
+            last = out.state.beta
+            out = _irls(rows, prep, Family("negbin", theta=theta), *how, begin=out.state)
+            change = np.linalg.norm(out.state.beta - last) / max(np.linalg.norm(out.state.beta), np.finfo(float).eps)
+            settled = bool(out.stats["conv"] and change <= control.dev_tol and abs(moments - theta) / (0.1 + abs(theta)) <= control.dev_tol)
+            theta = moments
+            if settled or not out.stats["conv"]:
+                break
+    released(rows)
+    out.kind, out.separators, out.vcov_given = "fenegbin", separators, vcov
+    out.nobs["nobs_separated"] = removed
+    out.stats |= {"theta": theta, "iter_outer": rounds, "conv_outer": settled, "link": link}
+    if removed:
+        warnings.warn(f"Separation detected: {removed} observation(s) with perfect prediction were excluded.", stacklevel=2)
     return out

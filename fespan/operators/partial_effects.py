@@ -5,13 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from .centering import _square, products, with_effects
+from .centering import products, square
+from .levels import with_effects
 
 
 def _rows(fit, at, means, alpha_x):
-    rows = fit.rows()
+    rows = fit.rows().where("not _sep")
     if fit.prep.f:
-        rows = with_effects(rows, fit.prep.f, fit.keys, alpha_x, "_ax", fit.control)
+        rows = with_effects(rows, fit.prep.f, alpha_x, "_ax", len(at), fit.control.broadcast_levels)
     x = [F.col(fit.prep.x[j]) for j in at]
     mx = [c - F.lit(float(means[j])) - (F.col(f"_ax{i}") if fit.prep.f else F.lit(0.0)) for i, (j, c) in enumerate(zip(at, x, strict=True))]
     return rows.withColumns({f"_mx{i}": c for i, c in enumerate(mx)}), x, [F.col(f"_mx{i}") for i in range(len(x))]
@@ -82,13 +83,13 @@ def average_partial_effects(fit, at, means, alpha_x, h) -> None:
     ape, jac = np.array(r[:p]) / n, np.array(r[2 * p : 2 * p + p * p]).reshape(p, p).T / n
     jac[np.diag_indices(p)] += np.array(r[p : 2 * p]) / n
     winv = np.linalg.solve(_ridge(h / n), jac)
-    v = winv.T @ _square(r[2 * p + p * p :], p) @ winv / n**2
+    v = winv.T @ square(r[2 * p + p * p :], p) @ winv / n**2
     if c.ape_n_pop and c.ape_n_pop > 1 and fit.prep.f and c.ape_sampling_fe == "independence":
         adj = max(0.0, (c.ape_n_pop - n) / (c.ape_n_pop - 1))
         rows = rows.withColumns({f"_q{i}": (F.col(f"_d{i}") - F.lit(float(ape[i]))) / n for i in range(p)})
         q = [F.col(f"_q{i}") for i in range(p)]
-        by = lambda f: _square(rows.groupBy(f).agg(*[F.sum(a).alias(f"s{i}") for i, a in enumerate(q)]).agg(*products([F.col(f"s{i}") for i in range(p)], F.lit(1.0))).first(), p)
-        single = _square(rows.agg(*products(q, F.lit(1.0))).first(), p)
+        by = lambda f: square(rows.groupBy(f).agg(*[F.sum(a).alias(f"s{i}") for i, a in enumerate(q)]).agg(*products([F.col(f"s{i}") for i in range(p)], F.lit(1.0))).first(), p)
+        single = square(rows.agg(*products(q, F.lit(1.0))).first(), p)
         v = v + adj * by(fit.prep.f[0])
         for f in fit.prep.f[1 : 2 if c.ape_panel_structure == "classic" else 3]:
             v = v + adj * (by(f) - single)

@@ -17,7 +17,8 @@ def column(name: str) -> Column:
 
 @dataclass
 class Prepared:
-    """df: the table's complete cases with _y, _w, _o, _x0.., _f0.. (fixed-effect keys) and _c0.. (cluster keys), cached."""
+    """df: the table's complete cases with _y, _w, _o, _x0.., _f0.. (fixed-effect keys) and _c0.. (cluster keys), not evaluated: passes
+    of a fit read the columns they need, row outputs read the others too. distinct: estimates of the different rows of the model's columns."""
 
     df: DataFrame
     spec: ModelSpec
@@ -25,14 +26,20 @@ class Prepared:
     nobs_full: int
     nobs: int
     levels: dict[str, list[str]] = field(default_factory=dict)
-    design: list[Column] = field(default_factory=list)
     weighted: bool = False
     has_offset: bool = False
+    distinct: int = 0
+    distinct_with_clusters: int = 0
+    y_range: tuple[float, float] = (0.0, 0.0)
 
     @property
     def x(self) -> list[str]:
         return [f"_x{i}" for i in range(len(self.names))]
 
+    @property
+    def varying(self) -> list[str]:
+        return [f"_x{i}" for i, n in enumerate(self.names) if n != "(Intercept)"]
+
     @property
     def f(self) -> list[str]:
         return [f"_f{i}" for i in range(len(self.spec.fe))]
@@ -55,14 +62,18 @@ def check_columns(df: DataFrame, names: list[str]) -> None:
             raise ValueError(f"column '{n}' has an unsupported type.")
 
 
-def complete_cases(df: DataFrame, names: list[str]) -> DataFrame:
-    """Rows without a null, NaN or infinite value in the named columns."""
+def complete(df: DataFrame, names: list[str]) -> Column:
+    """Whether a row has no null, NaN or infinite value in the named columns."""
     ok = F.lit(True)
     for n in names:
         ok = ok & column(n).isNotNull()
         if isinstance(df.schema[n].dataType, (T.DoubleType, T.FloatType)):
             ok = ok & ~F.isnan(column(n)) & (F.abs(column(n)) != float("inf"))
-    return df.where(ok)
+    return ok
+
+
+def complete_cases(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.where(complete(df, names))
 
 
 def factor_levels(df: DataFrame, name: str) -> list[str]:
@@ -118,35 +129,35 @@ def _name_or_column(x) -> Column:
 
 
 def prepare(df: DataFrame, spec: ModelSpec, weights=None, offset=None) -> Prepared:
-    """Check, drop incomplete rows, build the design and cache it. weights: column name, ~name or Column; offset: expression."""
+    """Check, drop incomplete rows and build the design; one pass over the columns of the model. weights: column name, ~name or
+    Column; offset: expression (null and non-finite values count as 0)."""
     names = spec.columns
     check_columns(df, names)
-    nobs_full = df.count()
-    if nobs_full == 0:
-        raise ValueError("'data' has zero observations.")
-    if weights is not None:
-        df = df.withColumn("_w", _name_or_column(weights).cast("double"))
-        bad = df.agg(F.min("_w"), F.sum(F.col("_w").isNull().cast("int"))).first()
-        if bad[1] == nobs_full:
-            raise ValueError("No complete cases.")
-        if bad[0] is not None and bad[0] < 0:
-            raise ValueError("negative weights are not allowed.")
-    else:
-        df = df.withColumn("_w", F.lit(1.0))
-    kept = complete_cases(df, [*names, "_w"])
-    levels = {c: factor_levels(kept, c) for t in spec.terms for c in t if is_factor(df, c)}
-    cols = design(df, spec, levels)
+    weight = _name_or_column(weights).cast("double") if weights is not None else F.lit(1.0)
+    df = df.withColumn("_w", weight)
+    o = _name_or_column(offset).cast("double") if offset is not None else F.lit(0.0)
+    df = df.withColumn("_o", F.when(o.isNull() | F.isnan(o) | (F.abs(o) == float("inf")), 0.0).otherwise(o))
+    whole = complete(df, [*names, "_w"])
+    kept = df.where(whole)
     y = column(spec.response)
     if is_factor(df, spec.response):
         both = factor_levels(kept, spec.response)
-        if len(both) != 2:
+        if both and len(both) != 2:
             raise ValueError("Model response has to be binary.")
-        y = F.when(y == both[1], 1.0).otherwise(0.0)
-    o = _name_or_column(offset).cast("double") if offset is not None else F.lit(0.0)
-    o = F.when(o.isNull() | F.isnan(o) | (F.abs(o) == float("inf")), 0.0).otherwise(o)
-    text = lambda c: column(c).cast("string")
-    kept = kept.withColumns({"_y": y.cast("double"), "_o": o, **{f"_x{i}": x for i, (_, x) in enumerate(cols)}, **{f"_f{i}": text(c) for i, c in enumerate(spec.fe)}, **{f"_c{i}": text(c) for i, c in enumerate(spec.clusters)}}).persist()
-    n = kept.count()
-    if n == 0:
+        y = F.when(y == (both[1] if both else ""), 1.0).otherwise(0.0)
+    y = y.cast("double")
+    inner = [F.col("_w"), F.col("_o"), *[column(c) for c in names if c not in spec.clusters or c in [spec.response, *spec.fe, *(c for t in spec.terms for c in t)]]]
+    every = [F.col("_w"), F.col("_o"), *[column(c) for c in names]]
+    seen = lambda cols: F.approx_count_distinct(F.when(whole, F.xxhash64(*cols)))
+    r = df.agg(F.count("*"), F.count_if(whole), F.count_if(F.col("_w").isNull()), F.min("_w"), F.min(F.when(whole, y)), F.max(F.when(whole, y)), seen(inner), *([seen(every)] if spec.clusters else [])).first()
+    nobs_full, n = r[0], r[1]
+    if nobs_full == 0:
+        raise ValueError("'data' has zero observations.")
+    if r[2] == nobs_full or n == 0:
         raise ValueError("No complete cases.")
-    return Prepared(kept, spec, [c for c, _ in cols], nobs_full, n, levels, [x for _, x in cols], weights is not None, offset is not None)
+    if r[3] is not None and r[3] < 0:
+        raise ValueError("negative weights are not allowed.")
+    levels = {c: factor_levels(kept, c) for t in spec.terms for c in t if is_factor(df, c)}
+    cols = design(df, spec, levels)
+    kept = kept.withColumns({"_y": y, **{f"_x{i}": x for i, (_, x) in enumerate(cols)}, **{f"_f{i}": column(c) for i, c in enumerate(spec.fe)}, **{f"_c{i}": column(c) for i, c in enumerate(spec.clusters)}})
+    return Prepared(kept, spec, [c for c, _ in cols], nobs_full, n, levels, weights is not None, offset is not None, r[6], r[7] if spec.clusters else r[6], (r[4], r[5]))

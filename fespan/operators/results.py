@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.families import Family, norm_quantile
 from ..plans.control import FitControl
 from ..plans.formula import ModelSpec
-from .centering import with_effects
+from .levels import with_effects
 from .linalg import coef_table
 from .prepare import Prepared, _name_or_column, column, design
 
@@ -29,13 +29,20 @@ class Result:
     vcov_matrix: np.ndarray | None
     vcov_label: str
     prep: Prepared
-    keys: list[np.ndarray]
-    effects: list[np.ndarray]
+    effects: list
     nobs: dict[str, int]
     stats: dict = field(default_factory=dict)
     weights: object = None
     offset: object = None
     data: DataFrame | None = None
+    #: See engine.separate.
+    separators: list = field(default_factory=list)
+    #: Kept regressors, the means they were centred by and their level coefficients; the state of the fit.
+    at: object = None
+    means: object = None
+    alpha_x: list = field(default_factory=list)
+    state: object = None
+    vcov_given: str | None = None
 
     # -- numbers
     def coef(self) -> dict[str, float]:
@@ -80,13 +87,67 @@ class Result:
         return self._frame([(n, float(b), *map(float, ci[n])) for n, b in self.coef().items()], "term string, estimate double, conf_low double, conf_high double")
 
     def fixed_effects(self) -> DataFrame:
-        """(fe, level, value); with two or more effects the first level of the last one is 0."""
-        own = [a.copy() for a in self.effects]
-        if len(own) > 1 and len(own[-1]):
-            shift = own[-1][0]
-            own[-1] -= shift
-            own[0] += shift
-        return self._frame([(f, str(k), float(v)) for f, keys, a in zip(self.spec.fe, self.keys, own, strict=True) for k, v in zip(keys, a, strict=True)], "fe string, level string, value double")
+        """(fe, level, value); with two or more effects the first level of the last one is 0. Of a generalized model only with return_fe."""
+        if self.kind != "felm" and not self.control.return_fe:
+            raise ValueError("fixed_effects of this model needs return_fe.")
+        own, spark = list(self.effects), self.prep.df.sparkSession
+        if len(own) > 1:
+            shift = own[-1].first()
+            own[-1], own[0] = own[-1].shifted(-shift), own[0].shifted(shift)
+        out = None
+        for f, a in zip(self.spec.fe, own, strict=True):
+            t = a.table(spark, "level", ["value"], 0).select(F.lit(f).alias("fe"), F.col("level").cast("string").alias("level"), "value")
+            out = t if out is None else out.union(t)
+        return self._frame([], "fe string, level string, value double") if out is None else out
+
+    def tx(self) -> DataFrame:
+        """The rows with <regressor>_centred: regressors less their means and effects (needs keep_tx)."""
+        if not self.control.keep_tx:
+            raise ValueError("tx needs keep_tx.")
+        rows, names = self.rows(), [self.names[j] for j in self.at]
+        if self.prep.f:
+            rows = with_effects(rows, self.prep.f, self.alpha_x, "_ax", len(names), self.control.broadcast_levels)
+        cols = {f"{n}_centred": F.col(self.prep.x[j]) - F.lit(float(self.means[j])) - (F.col(f"_ax{i}") if self.prep.f else F.lit(0.0)) for i, (j, n) in enumerate(zip(self.at, names, strict=True))}
+        return self._public(rows.withColumns(cols)).drop(*[f"_ax{i}" for i in range(len(names))])
+
+    # -- partial effects
+    def ape_table(self) -> DataFrame:
+        """(term, estimate, std_error, statistic, p_value) of the average partial effects (needs compute_apes)."""
+        names, v = self.vcov_apes()
+        rows = coef_table(np.array([self.stats["ape"][n] for n in names]), v)
+        return self._frame([(n, *map(float, r)) for n, r in zip(names, rows, strict=True)], "term string, estimate double, std_error double, statistic double, p_value double")
+
+    def coef_apes(self) -> dict[str, float]:
+        if "ape" not in self.stats:
+            raise ValueError("average partial effects need compute_apes.")
+        return dict(self.stats["ape"])
+
+    def vcov_apes(self) -> tuple[list[str], np.ndarray]:
+        return list(self.coef_apes()), self.stats["ape_vcov"]
+
+    def print_apes(self) -> str:
+        names, v = self.vcov_apes()
+        if not names:
+            return "No slope coefficients"
+        width = max([4, *map(len, names)])
+        out = ["Estimates:", " " * width + "   Estimate Std. Error z value Pr(>|z|)"]
+        for n, r in zip(names, coef_table(np.array([self.stats["ape"][n] for n in names]), v), strict=True):
+            out.append(f"{n:<{width}} {r[0]:10.6f} {r[1]:10.6f} {r[2]:7.3f} {r[3]:8.4g}")
+        return "\n".join(out)
+
+    # -- separation
+    def separated_rows(self) -> DataFrame:
+        """The observations that were separated, with their own columns; they have no fitted value."""
+        return self._public(self.rows().where("_sep"))
+
+    def print_separation(self, id_col: str | None = None) -> str:
+        """id_col: a column that names rows; the first 20 separated ones are listed by it."""
+        n = self.nobs["nobs_separated"]
+        out = ["Separation Check Result", "-----------------------", f"Separated observations: {n}", f"Converged: {self.stats.get('conv', True)}"]
+        if id_col and n:
+            ids = [str(r[0]) for r in self.separated_rows().select(column(id_col)).orderBy(column(id_col)).limit(20).collect()]
+            out.append(("Observation indices: " if n <= 20 else "First 20 observation indices: ") + ", ".join(ids) + (" ..." if n > 20 else ""))
+        return "\n".join(out)
 
     # -- rows
     def _linear(self, df: DataFrame, x: list, join: str) -> DataFrame:
@@ -96,20 +157,35 @@ class Result:
             if not np.isnan(b):
                 total = total + F.lit(float(b)) * c
         if self.spec.fe:
-            if join == "inner":
-                df = with_effects(df, self.prep.f, self.keys, [a[:, None] for a in self.effects], "_fe", self.control)
-            else:
-                for k, f in enumerate(self.prep.f):
-                    t = df.sparkSession.createDataFrame([(str(n), float(v)) for n, v in zip(self.keys[k], self.effects[k], strict=True)], f"{f} string, _v{k} double")
-                    df = df.join(F.broadcast(t) if t.sparkSession and len(self.keys[k]) <= self.control.broadcast_levels else t, f, "left")
-                df = df.withColumn("_fe0", sum((F.coalesce(f"_v{k}", F.lit(0.0)) for k in range(len(self.prep.f))), F.lit(0.0)))
+            df = with_effects(df, self.prep.f, self.effects, "_fe", 1, self.control.broadcast_levels, join)
             total = total + F.col("_fe0")
+        elif self.state is not None and self.state.const:
+            total = total + F.lit(float(self.state.const))
         return df.withColumn("_eta", total)
 
+    def _separated(self, df: DataFrame) -> DataFrame:
+        """df with _sep: whether a row was separated."""
+        flag = F.lit(False)
+        for i, how in enumerate(self.separators):
+            if isinstance(how, tuple):
+                h, t = how
+                df = df.join(t.select(F.col("k").alias(self.prep.f[h]), F.lit(True).alias(f"_sep{i}")), self.prep.f[h], "left")
+                flag = flag | F.coalesce(f"_sep{i}", F.lit(False))
+                continue
+            fit = F.lit(float(how.const))
+            if how.effects:
+                df = with_effects(df, self.prep.f, how.effects, f"_sep{i}_", 1, self.control.broadcast_levels, "left")
+                fit = fit + F.col(f"_sep{i}_0")
+            for b, c in zip(how.beta, self.prep.x, strict=True):
+                fit = fit + F.lit(float(b)) * F.col(c)
+            flag = flag | ((F.col("_y") <= 0) & (fit > max(self.control.sep_tol, 1e-5)))
+        return df.withColumn("_sep", flag).drop(*[n for i in range(len(self.separators)) for n in (f"_sep{i}", f"_sep{i}_0")])
+
     def rows(self) -> DataFrame:
-        """The prepared rows with _eta (offset included) and _mu."""
-        df = self._linear(self.prep.df, [F.col(c) for c in self.prep.x], "inner").withColumn("_eta", F.col("_eta") + F.col("_o"))
-        return df.withColumn("_mu", self.family.mu(F.col("_eta")))
+        """The prepared rows with _eta (offset included), _mu and _sep; separated rows have neither _eta nor _mu."""
+        df = self._linear(self._separated(self.prep.df), [F.col(c) for c in self.prep.x], "inner")
+        df = df.withColumn("_eta", F.when(~F.col("_sep"), F.col("_eta") + F.col("_o")))
+        return df.withColumn("_mu", self.family.mu(F.col("_eta")) if not self.separators else F.when(~F.col("_sep"), self.family.mu(F.col("_eta"))))
 
     def fitted(self) -> DataFrame:
         """The rows used, with their own columns and fitted_values."""
@@ -119,7 +195,7 @@ class Result:
         return self._public(self.rows().withColumn("residuals", F.col("_y") - F.col("_mu")))
 
     def _public(self, df: DataFrame) -> DataFrame:
-        gone = {*INTERNAL, "_eta", "_mu", "_fe0", *self.prep.x, *self.prep.f, *self.prep.c}
+        gone = {*INTERNAL, "_eta", "_mu", "_fe0", "_sep", *self.prep.x, *self.prep.f, *self.prep.c}
         return df.drop(*gone)
 
     def predict(self, newdata: DataFrame | None = None, type: str = "response") -> DataFrame:
@@ -132,7 +208,8 @@ class Result:
         x = [c for _, c in design(newdata, spec, self.prep.levels)]
         o = F.coalesce(_name_or_column(self.offset).cast("double"), F.lit(0.0)) if self.offset is not None else F.lit(0.0)
         need = [c for t in spec.terms for c in t] + list(spec.fe)
-        df = newdata.withColumns({f: column(c).cast("string") for f, c in zip(self.prep.f, spec.fe, strict=True)} | {"_o": o})
+        kind = self.prep.df.schema
+        df = newdata.withColumns({f: column(c).try_cast(kind[f].dataType) for f, c in zip(self.prep.f, spec.fe, strict=True)} | {"_o": o})
         df = self._linear(df, x, "left").withColumn("_eta", F.col("_eta") + F.col("_o"))
         value = F.col("_eta") if type == "link" else self.family.mu(F.col("_eta"))
         if need:
@@ -140,7 +217,7 @@ class Result:
             for c in need:
                 missing = missing | column(c).isNull()
             value = F.when(~missing, value)
-        return df.withColumn("prediction", value).drop("_o", "_eta", "_fe0", *self.prep.f, *[f"_v{k}" for k in range(len(spec.fe))])
+        return df.withColumn("prediction", value).drop("_o", "_eta", "_fe0", *self.prep.f)
 
     def augment(self, newdata: DataFrame | None = None) -> DataFrame:
         """Data with .fitted and .residuals (where the response is there)."""
@@ -150,13 +227,15 @@ class Result:
         return df.withColumn(".residuals", column(self.spec.response).cast("double") - F.col("`.fitted`")) if self.spec.response in df.columns else df
 
     def update(self, formula: str, **more):
-        """Refit on the updated formula; the covariance estimator is kept."""
+        """Refit on the updated formula; a covariance estimator that was asked for is kept."""
         if self.data is None:
             raise ValueError("update needs keep_data.")
         from . import models
 
         spec = self.spec.update(formula)
-        how = {"weights": self.weights, "control": self.control, "vcov": self.stats.get("vcov")} | more
+        how = {"weights": self.weights, "control": self.control, "vcov": self.vcov_given} | more
+        if self.kind == "fenegbin":
+            return models.fenegbin(str(spec), self.data, offset=self.offset, **how)
         return models.felm(str(spec), self.data, **how) if self.kind == "felm" else models.feglm(str(spec), self.data, family=self.family, offset=self.offset, **how)
 
     def summary(self) -> Result:
@@ -179,4 +258,6 @@ class Result:
             head.append(f"Number of Fisher Scoring iterations: {self.stats['iter']}")
         if "theta" in self.stats:
             head.append(f"theta = {self.stats['theta']:.4f}")
+        if "ape" in self.stats:
+            head += ["", "Average partial effects", self.print_apes()]
         return "\n".join(head)

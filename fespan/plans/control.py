@@ -9,6 +9,10 @@ from math import inf
 
 @dataclass(frozen=True)
 class FitControl:
+    """Parameters of a fit. Accepted and checked, but without effect: alpha_tol and iter_alpha_max (level effects come with the fit,
+    there is no separate recovery), step_halving_memory and max_step_halving (they blend after a step that raised the deviance; no such
+    step is taken here), start_inner_tol and bias_corr_bandwidth."""
+
     dev_tol: float = 1e-6
     center_tol: float = 1e-6
     collin_tol: float = 1e-8
@@ -20,7 +24,7 @@ class FitControl:
     iter_alpha_max: int = 10000
     step_halving_memory: float = 0.9
     max_step_halving: int = 2
-    start_inner_tol: float = 1e-5  # accepted; no fit reads it
+    start_inner_tol: float = 1e-5
     grand_acc_period: int = 4
     centering: str = "berge"
     sep_tol: float = 1e-8
@@ -44,9 +48,11 @@ class FitControl:
     ape_sampling_fe: str = "independence"
     ape_weak_exo: bool = False
     compute_bias_corr: bool = False
-    bias_corr_bandwidth: int = 0  # accepted; no fit reads it
+    bias_corr_bandwidth: int = 0
     bias_corr_panel_structure: str = "classic"
-    #: Ours: cells of the fixed effects that the driver may hold; beyond it centering runs as distributed sweeps.
+    #: Ours: bytes of the model's columns up to which a fit runs over arrays on the driver, equal rows counted once; beyond it, in Spark.
+    local_bytes: int = 128 << 20
+    #: Ours: cells of two or more effects whose sums the driver may hold in a Spark fit; beyond it centering sweeps over level tables.
     max_cells: int = 1_000_000
     #: Ours: rows of a fixed-effect table up to which it is broadcast.
     broadcast_levels: int = 200_000
@@ -55,7 +61,7 @@ class FitControl:
         for names, check, said in (
             (("dev_tol", "center_tol", "collin_tol", "alpha_tol", "sep_tol", "sep_zero_tol", "start_inner_tol"), lambda v: v > 0, "must be greater than zero."),
             (("iter_max", "iter_center_max", "iter_inner_max", "iter_alpha_max", "sep_max_iter", "sep_simplex_max_iter", "grand_acc_period"), lambda v: v >= 1, "must be greater than or equal to one."),
-            (("max_step_halving", "init_theta", "bias_corr_bandwidth"), lambda v: v >= 0, "must be greater than or equal to zero."),
+            (("max_step_halving", "init_theta", "bias_corr_bandwidth", "local_bytes", "max_cells", "broadcast_levels"), lambda v: v >= 0, "must be greater than or equal to zero."),
             (("step_halving_factor", "step_halving_memory"), lambda v: 0 < v < 1, "must be between zero and one."),
             (("sep_use_relu", "sep_use_simplex", "return_fe", "keep_tx", "keep_data", "return_hessian", "check_separation", "compute_apes", "ape_weak_exo", "compute_bias_corr"), lambda v: isinstance(v, bool), "must be logical."),
             (("centering",), lambda v: v in ("berge", "stammann"), "must be 'berge' or 'stammann'."),

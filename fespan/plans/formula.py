@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, replace
-from itertools import combinations
+from dataclasses import dataclass
 
 Term = tuple[str, ...]  # columns multiplied with each other
 NAME = re.compile(r"\s*(`[^`]+`|[A-Za-z_.][A-Za-z0-9_.]*|%in%|[0-9]+|[-+*:^/()])")
@@ -43,8 +42,21 @@ class ModelSpec:
         return parse(f"{self.response if lhs.strip() in ('', '.') else lhs.strip()} ~ {' | '.join(new)}")
 
 
+def _split(text: str, at: str) -> list[str]:
+    """Parts of text at a character that stands neither in parentheses nor between backticks."""
+    parts, depth, quoted = [""], 0, False
+    for c in text:
+        quoted ^= c == "`"
+        depth += 0 if quoted else (c == "(") - (c == ")")
+        if c == at and not depth and not quoted:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
 def _no_functions(text: str) -> None:
-    found = re.search(r"([A-Za-z_.][A-Za-z0-9_.]*)\s*\(", text)
+    found = re.search(r"([A-Za-z_.][A-Za-z0-9_.]*)\s*\(", re.sub(r"`[^`]*`", "1", text))
     if found:
         raise FormulaError(f"this model does not support functions in formulas (found '{found[1]}'); create the column before fitting")
 
@@ -171,23 +183,16 @@ def parse(formula: str, columns: list[str] | None = None) -> ModelSpec:
     if not lhs.strip():
         raise FormulaError("'formula' must have a response variable.")
     _no_functions(lhs)
-    parts = rhs.split("|")
+    parts = _split(rhs, "|")
     if len(parts) > 3:
         raise FormulaError("'formula' has more than three parts.")
     for p in parts:
         _no_functions(p)
     response = lhs.strip().strip("`")
-    names = [[x for x in re.split(r"[+\s]+", p) if x and x != "0"] for p in parts[1:]]
-    used = {response, *(x for n in names for x in n)}
+    names = [[x.strip() for x in _split(p, "+") if x.strip() and x.strip() != "0"] for p in parts[1:]]
+    used = {response, *(x.strip("`") for n in names for x in n)}
     terms, intercept = _terms(parts[0], [c for c in columns or [] if c not in used])
     terms = [t for t in terms if t != (response,)]
     keys = [tuple(dict.fromkeys(x.strip("`") for x in n)) for n in names] + [(), ()]
     return ModelSpec(response, tuple(terms), keys[0], keys[1], intercept and not keys[0])
 
-
-def pairs(names: list[str]) -> list[Term]:
-    return list(combinations(names, 2))
-
-
-def with_clusters(spec: ModelSpec, clusters: tuple[str, ...]) -> ModelSpec:
-    return replace(spec, clusters=tuple(clusters))

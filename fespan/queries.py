@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import normal_sql as steps
 from .functions.families import norm_quantile
 from .operators import models, prepare
 from .operators.centering import demean
-from .operators.separation import separated_levels
+from .operators.levels import checkpointed
 from .plans.formula import parse
 from .sources.tables import read_table, summary_table
 from .streaming.incremental import IncrementalOls
@@ -42,9 +43,9 @@ def rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
     return df.select(*[(F.round(F.col(f"`{c}`"), digits) + 0.0).alias(c) if c in names else F.col(f"`{c}`") for c in df.columns])
 
 
-def terms(fit) -> DataFrame:
+def terms(fit, digits: int = 4) -> DataFrame:
     t = fit.tidy().toDF("term", "estimate", "std_error", "statistic", "p_value")
-    return rounded(t.select("term", "estimate", "std_error"), "estimate", "std_error")
+    return rounded(t.select("term", "estimate", "std_error"), "estimate", "std_error", digits=digits)
 
 
 # -- rows and designs
@@ -185,9 +186,36 @@ def demean_twoway_balanced(spark, d):
     return rounded(demean(grid(spark, d), ["n"], ["o_orderstatus", "o_orderpriority"]).select("o_orderstatus", "o_orderpriority", "n_demeaned"), "n_demeaned", digits=5)
 
 
-@query()
+TWO = ["l_quantity", "l_discount"]
+TWOWAY = steps.fitted("lineitem", "l_extendedprice", TWO, ["l_suppkey", "l_partkey"], sweeps=14) + steps.coefficients(TWO, steps.iid_lm(2), 4)
+SUPP_PART = "l_extendedprice ~ l_quantity + l_discount | l_suppkey + l_partkey"
+
+
+@query(TWOWAY)
 def felm_twoway(spark, d):
-    return terms(models.felm("l_extendedprice ~ l_quantity + l_discount | l_suppkey + l_partkey", items(spark, d)))
+    return terms(models.felm(SUPP_PART, items(spark, d), control={"center_tol": 1e-9}))
+
+
+@query(TWOWAY)
+def felm_twoway_stammann(spark, d):
+    return terms(models.felm(SUPP_PART, items(spark, d), control={"center_tol": 1e-9, "centering": "stammann"}))
+
+
+@query(TWOWAY)
+def felm_twoway_spark(spark, d):
+    """In Spark whatever the size: cells of the effects are aggregated, their sums centred on the driver."""
+    return terms(models.felm(SUPP_PART, items(spark, d), control={"center_tol": 1e-9, "local_bytes": 0}))
+
+
+@query(TWOWAY)
+def felm_twoway_tables(spark, d):
+    """In Spark with level tables that are joined and aggregated in turn, as where neither rows nor cells fit the driver."""
+    return terms(models.felm(SUPP_PART, items(spark, d), control={"center_tol": 1e-7, "local_bytes": 0, "max_cells": 0}))
+
+
+@query(steps.fitted("lineitem", "l_extendedprice", TWO, ["l_suppkey", "l_partkey", "l_linenumber"], keys="l_orderkey", sweeps=14) + steps.coefficients(TWO, steps.sandwich(2, "l_orderkey"), 4))
+def felm_threeway(spark, d):
+    return terms(models.felm(SUPP_PART + " + l_linenumber | l_orderkey", items(spark, d), control={"center_tol": 1e-9}))
 
 
 # -- generalized linear models
@@ -255,19 +283,96 @@ def negbin_theta(spark, d):
     return rounded(spark.createDataFrame([(models.estimate_theta(items(spark, d), "l_quantity"),)], "theta double"), "theta")
 
 
-@query()
+THETA = "(SELECT CASE WHEN v - m <= 0.01 * m THEN 1e6 ELSE least(greatest(m * m / (v - m), 0.1), 1e6) END FROM (SELECT avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem))"
+
+
+@query(steps.fitted("lineitem", "l_quantity", ["l_discount"], ["l_suppkey"], "negbin", steps=7, theta=THETA) + steps.coefficients(["l_discount"], steps.IID_GLM))
 def negbin_reg(spark, d):
-    return terms(models.fenegbin("l_quantity ~ l_discount | l_suppkey", items(spark, d)))
+    return terms(models.fenegbin("l_quantity ~ l_discount | l_suppkey", items(spark, d), control=TIGHT), 6)
 
 
-@query()
+DT = ["l_discount", "l_tax"]
+COUNTS = "l_quantity ~ l_discount + l_tax | l_suppkey"
+POISSON_TWO = steps.fitted("lineitem", "l_quantity", DT, ["l_suppkey", "l_partkey"], "poisson", keys="l_orderkey", steps=6, sweeps=9) + steps.coefficients(DT, steps.sandwich(2, "l_orderkey"))
+
+
+@query(POISSON_TWO)
 def poisson_twoway_reg(spark, d):
-    return terms(models.fepoisson("l_quantity ~ l_discount + l_tax | l_suppkey + l_partkey | l_orderkey", items(spark, d)))
+    return terms(models.fepoisson(COUNTS + " + l_partkey | l_orderkey", items(spark, d), control=TIGHT), 6)
 
 
-@query()
+@query(POISSON_TWO)
+def poisson_twoway_spark(spark, d):
+    """In Spark whatever the size."""
+    return terms(models.fepoisson(COUNTS + " + l_partkey | l_orderkey", items(spark, d), control={"dev_tol": 1e-10, "center_tol": 1e-10, "local_bytes": 0}), 6)
+
+
+@query(steps.fitted("lineitem", "l_quantity", DT, ["l_suppkey", "l_partkey", "l_linenumber"], "poisson", steps=6, sweeps=9) + steps.coefficients(DT, steps.IID_GLM))
+def poisson_threeway_reg(spark, d):
+    return terms(models.fepoisson(COUNTS + " + l_partkey + l_linenumber", items(spark, d), control=TIGHT), 6)
+
+
+ENTRIES = "SELECT 'l_discount' AS a, 'l_discount' AS b, round(c00, 8) AS value FROM c UNION ALL SELECT 'l_discount', 'l_tax', round(c01, 8) + 0.0 FROM c UNION ALL SELECT 'l_tax', 'l_tax', round(c11, 8) FROM c"
+
+
+def entries(spark, fit) -> DataFrame:
+    names, v = fit.vcov()
+    return rounded(spark.createDataFrame([(names[i], names[j], float(v[i, j])) for i in range(len(names)) for j in range(i, len(names))], "a string, b string, value double"), "value", digits=8)
+
+
+ONEWAY = steps.fitted("lineitem", "l_quantity", DT, ["l_suppkey"], "poisson", keys="l_orderkey, l_linenumber", steps=6)
+
+
+@query(ONEWAY + f", {steps.INVERSE}, {steps.sandwich(2)} {ENTRIES}")
+def glm_vcov_hetero(spark, d):
+    return entries(spark, models.fepoisson(COUNTS, items(spark, d), vcov="hetero", control=TIGHT))
+
+
+@query(ONEWAY + f", {steps.INVERSE}, {steps.sandwich(2, 'l_orderkey')} {ENTRIES}")
+def glm_vcov_cluster(spark, d):
+    return entries(spark, models.fepoisson(COUNTS + " | l_orderkey", items(spark, d), control=TIGHT | {"local_bytes": 0}))
+
+
+def _p(z: str) -> str:
+    return f"2 * (1 - {steps.CDF.format(x=f'abs({z})')})"
+
+
+@query(ONEWAY + f", {steps.INVERSE}, {steps.IID_GLM} " + " UNION ALL ".join(f"SELECT '{n}' AS term, round(z, 5) + 0.0 AS statistic, round({_p('z')}, 6) AS p_value FROM (SELECT b{i} / sqrt(c{i}{i}) AS z FROM b, c)" for i, n in enumerate(DT)))
+def glm_tidy(spark, d):
+    t = models.fepoisson(COUNTS, items(spark, d), control=TIGHT).tidy().toDF("term", "estimate", "std_error", "statistic", "p_value")
+    return rounded(rounded(t.select("term", "statistic", "p_value"), "statistic", digits=5), "p_value", digits=6)
+
+
+@query("SELECT round(corr(l_quantity, m) * corr(l_quantity, m), 6) AS pseudo_r_squared FROM (SELECT l_quantity, avg(l_quantity) OVER (PARTITION BY l_suppkey) AS m FROM lineitem)")
+def poisson_pseudo_r2(spark, d):
+    fit = models.fepoisson("l_quantity ~ 0 | l_suppkey", items(spark, d), control=TIGHT)
+    return rounded(spark.createDataFrame([(float(fit.stats["pseudo_r_squared"]),)], "pseudo_r_squared double"), "pseudo_r_squared", digits=6)
+
+
+@query("SELECT l_suppkey::VARCHAR AS level, round(ln(sum(l_quantity) / sum(l_linenumber)), 6) + 0.0 AS value FROM lineitem GROUP BY 1")
+def offset_refit(spark, d):
+    """The effects of a fitted model again, given an offset."""
+    fit = models.fepoisson("l_quantity ~ l_discount | l_suppkey", items(spark, d), control=TIGHT | {"return_fe": True, "keep_data": True})
+    return rounded(models.fit_offset(fit, "ln(l_linenumber)").fixed_effects().select("level", "value"), "value", digits=6)
+
+
+@query(steps.fitted(BINARY, "is_r", DT, ["l_linestatus"], "probit", steps=7) + steps.coefficients(DT, steps.IID_GLM, 5))
 def probit_reg(spark, d):
-    return terms(models.feprobit("is_r ~ l_discount + open", binary(spark, d)))
+    return terms(models.feprobit("is_r ~ l_discount + l_tax | l_linestatus", binary(spark, d), control=TIGHT), 5)
+
+
+LOGIT_REG = steps.fitted(BINARY, "is_r", DT, ["l_suppkey"], "binomial", steps=7)
+
+
+@query(LOGIT_REG + steps.coefficients(DT, steps.IID_GLM, 5))
+def logit_reg(spark, d):
+    return terms(models.fit_matrix(binary(spark, d), "is_r", DT, ["l_suppkey"], family="binomial", control=TIGHT), 5)
+
+
+@query(LOGIT_REG + "SELECT term, round(b * slope, 6) + 0.0 AS estimate FROM (SELECT 'l_discount' AS term, b0 AS b FROM b UNION ALL SELECT 'l_tax', b1 FROM b), (SELECT avg(mu * (1 - mu)) AS slope FROM r)")
+def ape_slopes(spark, d):
+    fit = models.feglm("is_r ~ l_discount + l_tax | l_suppkey", binary(spark, d), family="binomial", control=TIGHT | {"compute_apes": True})
+    return rounded(fit.ape_table().select("term", "estimate"), "estimate", digits=6)
 
 
 @query()
@@ -276,15 +381,46 @@ def tobit_reg(spark, d):
     return terms(models.fetobit("q ~ l_discount | l_suppkey", df, tobit_lb=5.0, tobit_ub=45.0))
 
 
-@query()
+@query(steps.fitted(BINARY, "is_r", ["l_discount"], ["l_suppkey"], "binomial", steps=7) + ", g AS (SELECT sum(t0 * ww * (1 - 2 * mu)) / sum(ww) AS s FROM r GROUP BY f0) SELECT 'l_discount' AS term, round(b0, 5) + 0.0 AS estimate, round(b0 + t, 5) + 0.0 AS corrected, round(-t, 6) + 0.0 AS bias FROM (SELECT b0, (SELECT sum(s) FROM g) / 2 / h00 AS t FROM b)")
 def bias_corr(spark, d):
-    fit = models.feglm("is_r ~ l_discount | l_suppkey", binary(spark, d), family="binomial", control={"compute_bias_corr": True})
-    return spark.createDataFrame([("l_discount", float(fit.beta[0]), float(fit.stats["beta_corrected"][0]), float(fit.stats["bias_term"][0]))], "term string, estimate double, corrected double, bias double")
+    fit = models.feglm("is_r ~ l_discount | l_suppkey", binary(spark, d), family="binomial", control=TIGHT | {"compute_bias_corr": True})
+    out = spark.createDataFrame([("l_discount", float(fit.beta[0]), float(fit.stats["beta_corrected"][0]), float(fit.stats["bias_term"][0]))], "term string, estimate double, corrected double, bias double")
+    return rounded(rounded(out, "estimate", "corrected", digits=5), "bias", digits=6)
+
+
+#: Suppliers without any sale, and a mark that stands only on rows of zero: both leave no finite estimate.
+ZEROS = "CASE WHEN l_suppkey % 7 = 0 OR (l_linenumber = 2 AND l_quantity < 20) THEN 0.0 ELSE l_quantity END"
+MARK = "CASE WHEN l_linenumber = 2 AND l_quantity < 20 THEN 1.0 ELSE 0.0 END"
+
+
+def with_zeros(spark, d) -> DataFrame:
+    return items(spark, d).withColumns({"sold": F.expr(ZEROS), "mark": F.expr(MARK)})
+
+
+def quietly(f, *a, **k):
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", UserWarning)
+        return f(*a, **k)
+
+
+@query(f"SELECT l_suppkey, count(*) AS n FROM (SELECT *, {MARK} AS mark FROM lineitem) WHERE l_suppkey % 7 = 0 OR mark = 1 GROUP BY 1")
+def separated_rows(spark, d):
+    fit = quietly(models.fepoisson, "sold ~ mark + l_discount | l_suppkey", with_zeros(spark, d))
+    return fit.separated_rows().groupBy("l_suppkey").agg(F.count("*").alias("n"))
+
 
+@query(steps.fitted(f"(SELECT * FROM lineitem WHERE l_suppkey % 7 <> 0 AND {MARK} = 0)", "l_quantity", ["l_discount"], ["l_suppkey"], "poisson", steps=7) + steps.coefficients(["l_discount"], steps.IID_GLM) + " UNION ALL SELECT 'mark', NULL, NULL")
+def separated_fit(spark, d):
+    return terms(quietly(models.fepoisson, "sold ~ l_discount + mark | l_suppkey", with_zeros(spark, d), control=TIGHT), 6)
 
-@query("SELECT l_partkey AS level, count(*) AS n, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END)::DOUBLE AS mean FROM lineitem GROUP BY 1 HAVING avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) <= 0")
+
+@query("SELECT DISTINCT l_suppkey::VARCHAR AS level FROM lineitem WHERE l_suppkey % 7 = 0")
 def separation_groups(spark, d):
-    return separated_levels(binary(spark, d), "is_r", "l_partkey")
+    """Levels that only have zeros, found in Spark."""
+    fit = quietly(models.feglm, "yes ~ 0 | l_suppkey", items(spark, d).withColumn("yes", F.expr("CASE WHEN l_suppkey % 7 <> 0 AND l_returnflag = 'R' THEN 1 ELSE 0 END")), family="binomial", control={"local_bytes": 0})
+    return fit.separated_rows().select(F.col("l_suppkey").cast("string").alias("level")).distinct()
 
 
 # -- after the fit
@@ -321,22 +457,75 @@ def predict_left_join(spark, d):
     return rounded(fit.predict(new).select("s_suppkey", "prediction"), "prediction", digits=3)
 
 
-@query()
+@query("SELECT s_suppkey, round(coalesce(m, 1), 4) AS prediction FROM supplier LEFT JOIN (SELECT l_suppkey, avg(l_quantity) AS m FROM lineitem WHERE l_suppkey > 10 GROUP BY 1) ON s_suppkey = l_suppkey")
+def predict_glm(spark, d):
+    fit = models.fepoisson("l_quantity ~ 0 | l_suppkey", items(spark, d).where("l_suppkey > 10"), control=TIGHT)
+    new = read_table(spark, d, "supplier").select("s_suppkey", F.col("s_suppkey").alias("l_suppkey"))
+    return rounded(fit.predict(new).select("s_suppkey", "prediction"), "prediction")
+
+
+@query(steps.fitted("lineitem", "l_extendedprice", TWO, ["l_suppkey"], keys="l_orderkey") + steps.coefficients(TWO, steps.sandwich(2, "l_orderkey"), 4))
 def updated_formula(spark, d):
     fit = models.felm(PRICE, items(spark, d), control={"keep_data": True})
     return terms(fit.update(". ~ . + l_discount | . | l_orderkey"))
 
 
-@query()
+def _stars(sql: str) -> str:
+    """star(z) written out."""
+    import re
+
+    out, at = "", 0
+    for m in re.finditer(r"star\(", sql):
+        end, depth = m.end(), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        z = f"abs({sql[m.end() : end - 1]})"
+        out += sql[at : m.start()] + f"(CASE WHEN {z} >= 2.575829 THEN '**' WHEN {z} >= 1.959964 THEN '*' WHEN {z} >= 1.644854 THEN '+' ELSE '' END)"
+        at = end
+    return out + sql[at:]
+
+
+SIDE = """, u AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_r2(l_extendedprice, l_quantity) AS r2, count(*) AS n, regr_sxx(l_extendedprice, l_quantity) AS sxx, sum(l_quantity * l_quantity) AS xx, regr_syy(l_extendedprice, l_quantity) AS syy FROM lineitem),
+s AS (SELECT *, sqrt(syy * (1 - r2) / (n - 2)) AS e FROM u), f AS (SELECT max(b) AS b, sqrt(sum(e * e) / max(n - 1) / max(h)) AS se, 1 - sum(e * e) / (SELECT syy FROM u) AS r2 FROM e)
+SELECT 0 AS line, 'Variable' AS variable, '(1)' AS first, '(2)' AS second UNION ALL SELECT 2, '(Intercept)', printf('%.3f', a) || star(a / (e * sqrt(xx / n / sxx))), '' FROM s UNION ALL SELECT 3, '', printf('(%.3f)', e * sqrt(xx / n / sxx)), '' FROM s
+UNION ALL SELECT 4, 'l_quantity', printf('%.3f', s.b) || star(s.b / (e / sqrt(sxx))), printf('%.3f', f.b) || star(f.b / se) FROM s, f UNION ALL SELECT 5, '', printf('(%.3f)', e / sqrt(sxx)), printf('(%.3f)', se) FROM s, f UNION ALL SELECT 6, 'Fixed effects', '', '' UNION ALL SELECT 7, 'l_suppkey', 'No', 'Yes'
+UNION ALL SELECT 8, 'N', format('{:,}', n), format('{:,}', n) FROM u UNION ALL SELECT 9, 'R-squared', printf('%.3f', s.r2), printf('%.3f', f.r2) FROM s, f UNION ALL SELECT 10, 'SE type', 'iid', 'iid'"""
+
+
+@query(WITHIN.rstrip() + _stars(SIDE.replace("SELECT 0 AS line", "SELECT 0::BIGINT AS line")))
 def side_by_side(spark, d):
+    """The printed table of two models, a row for each of its lines, cells trimmed."""
     df = items(spark, d)
     text = summary_table(models.felm("l_extendedprice ~ l_quantity", df), models.felm(PRICE, df))
-    return spark.createDataFrame(list(enumerate(text.splitlines())), "line long, text string")
+    lines = [(i, *[c.strip() for c in t.strip("|").split("|")]) for i, t in enumerate(text.splitlines()) if t.startswith("| ")]
+    return spark.createDataFrame(lines, "line long, variable string, first string, second string")
+
+
+INCREMENTAL = "WITH m AS (SELECT *, l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_suppkey) AS y, l_quantity - avg(l_quantity) OVER (PARTITION BY l_suppkey) AS x FROM lineitem) SELECT 'l_quantity' AS term, round(sum(x * y) / sum(x * x), 4) AS estimate FROM m"
+
+
+def _state(spark) -> str:
+    """A new folder for the state of a stream: in the checkpoint folder, which driver and executors share."""
+    import uuid
 
+    checkpointed(spark.range(0))
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
-@query("WITH m AS (SELECT *, l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_suppkey) AS y, l_quantity - avg(l_quantity) OVER (PARTITION BY l_suppkey) AS x FROM lineitem) SELECT 'l_quantity' AS term, round(sum(x * y) / sum(x * x), 4) AS estimate FROM m")
+
+@query(INCREMENTAL)
 def incremental_ols(spark, d):
-    fit, df = IncrementalOls("l_extendedprice", ["l_quantity"], "l_suppkey"), items(spark, d)
+    fit, df = IncrementalOls(spark, _state(spark), "l_extendedprice", ["l_quantity"], "l_suppkey"), items(spark, d)
     for i, part in enumerate(("l_linenumber <= 2", "l_linenumber > 2", "l_linenumber > 2")):
         fit.add(df.where(part), min(i, 1))
     return rounded(spark.createDataFrame(list(fit.coef().items()), "term string, estimate double"), "estimate")
+
+
+@query(INCREMENTAL)
+def streaming_ols(spark, d):
+    """The same model over a stream of the table's files."""
+    path = _state(spark)
+    fit = IncrementalOls(spark, f"{path}/state", "l_extendedprice", ["l_quantity"], "l_suppkey")
+    stream = spark.readStream.schema(items(spark, d).schema).parquet(f"{d}/lineitem.parque[t]")
+    fit.attach(stream, f"{path}/check").awaitTermination()
+    return rounded(spark.createDataFrame(list(fit.coef().items()), "term string, estimate double"), "estimate")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 import fespan
 from fespan.functions.families import erfc, norm_cdf, norm_quantile
 from fespan.operators import linalg, models
-from fespan.operators.centering import center, count_cells, demean
+from fespan.operators.centering import Sweeps, center, count_cells, demean, irons_tuck, reduced_rank
+from fespan.operators.engine import ArrayRows, TableRows, rows_of
+from fespan.operators.prepare import prepare
 from fespan.plans.control import FitControl, merged
 from fespan.plans.formula import FormulaError, parse
 from fespan.streaming.incremental import IncrementalOls
@@ -132,8 +134,126 @@ def test_sweeps_agree(panel):
     cells = center(rows, ["_f0", "_f1"], v, w, FitControl(center_tol=1e-9), n)
     sweeps = center(rows, ["_f0", "_f1"], v, w, FitControl(center_tol=1e-9, max_cells=1, broadcast_levels=2), n)
     assert np.allclose(cells.gram, sweeps.gram, rtol=1e-7)
-    flat = demean(panel, ["x"], ["a", "b"])
+    flat, far = demean(panel, ["x"], ["a", "b"]), demean(panel, ["x"], ["a", "b"], control=FitControl(center_tol=1e-12, local_bytes=0))
     assert max(abs(r[1]) for r in flat.groupBy("b").agg(F.sum("x_demeaned")).collect()) < 1e-6
+    got = [dict(t.select("id", "x_demeaned").collect()) for t in (flat, far)]
+    assert max(abs(got[0][i] - got[1][i]) for i in got[0]) < 1e-9
+
+
+def test_centering_methods():
+    rng = np.random.default_rng(3)
+    codes = [rng.integers(0, 40, 900), rng.integers(0, 30, 900), (np.arange(900) // 37) % 25]
+    v, w = rng.normal(size=(900, 2)), rng.random(900) + 0.1
+    dense = np.concatenate([np.eye(n)[c] for c, n in zip(codes, (40, 30, 25), strict=True)], axis=1)
+    want = v - dense @ np.linalg.lstsq(dense * np.sqrt(w)[:, None], v * np.sqrt(w)[:, None], rcond=None)[0]
+    for k in (1, 2, 3):
+        dense_k = np.concatenate([np.eye(n)[c] for c, n in zip(codes[:k], (40, 30, 25)[:k], strict=True)], axis=1)
+        want = v - dense_k @ np.linalg.lstsq(dense_k * np.sqrt(w)[:, None], v * np.sqrt(w)[:, None], rcond=None)[0]
+        for how in ("berge", "stammann"):
+            for period in (1, 4):
+                own = Sweeps(codes[:k], [40, 30, 25][:k], w, v * w[:, None])
+                a, used, settled = own.solve(FitControl(center_tol=1e-11, centering=how, grand_acc_period=period), None, v)
+                assert settled and used < 200 and np.allclose(v - own.fit(a), want, atol=1e-8), (k, how, period)
+    own = Sweeps(codes, [40, 30, 25], w, v * w[:, None])
+    assert not own.solve(FitControl(center_tol=1e-14, iter_center_max=2), None, v)[2]
+    # sequences with one and with two geometric errors end in one extrapolation
+    one = [np.array([[2 + 0.9**t]]) for t in range(4)]
+    two = [np.array([[1 + 0.9**t + 0.5**t], [3 - 0.9**t + 2 * 0.5**t]]) for t in range(4)]
+    assert np.allclose(irons_tuck(*one[:3]), 2) and np.allclose(reduced_rank(*one), 2) and np.allclose(reduced_rank(*two), [[1], [3]])
+
+
+FITS = [
+    ("felm", "y ~ x + z | a + b | c", {}), ("felm", "y ~ x + z | a | c", {"weights": "w"}), ("felm", "y ~ x", {}), ("fepoisson", "y ~ x + z | a + b | c", {}), ("fepoisson", "y ~ x | a", {"vcov": "hetero", "weights": "w"}),
+    ("feglm", "d ~ x + z | a | c", {"family": "binomial"}), ("feprobit", "d ~ x | b", {}), ("feglm", "g ~ 0 | a", {"family": "gamma"}), ("fenegbin", "y ~ x | a + b", {"offset": "z / 10"}), ("fetobit", "q ~ z | a", {"tobit_lb": -0.5}),
+    ("felm", "y ~ x + z | a | c + e", {"vcov": "two-way"}), ("felm", "y ~ x + z | a | c + e", {"vcov": "dyadic"}),
+]
+
+
+@pytest.mark.parametrize("kind,formula,how", FITS)
+@pytest.mark.parametrize("max_cells", [0, 1_000_000])
+def test_engines_agree(panel, kind, formula, how, max_cells):
+    df = panel.withColumns({"q": F.greatest("x", F.lit(-0.5)), "e": F.concat(F.lit("c"), (F.col("id") % 17).cast("string"))})
+    if max_cells == 0 and (" + b" not in formula or kind == "fenegbin"):
+        pytest.skip("sweeps need two effects, and take long")
+    near = getattr(fespan, kind)(formula, df, control=TIGHT | {"return_fe": True}, **how)
+    far = getattr(fespan, kind)(formula, df, control=TIGHT | {"return_fe": True, "local_bytes": 0, "max_cells": max_cells}, **how)
+    assert np.allclose(near.beta, far.beta, atol=1e-8, equal_nan=True) and np.allclose(near.vcov_matrix, far.vcov_matrix, rtol=1e-6, equal_nan=True)
+    for k in ("deviance", "null_deviance", "r_squared", "pseudo_r_squared", "theta"):
+        assert k not in near.stats or abs(near.stats[k] - far.stats[k]) < 1e-6 * max(1, abs(near.stats[k]))
+    a, b = ({(r.fe, r.level): r.value for r in f.fixed_effects().collect()} for f in (near, far))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 for k in a)
+    mu = [dict(f.fitted().select("id", "fitted_values").collect()) for f in (near, far)]
+    assert max(abs(mu[0][i] - mu[1][i]) for i in mu[0]) < 1e-6
+
+
+def test_folded_rows(spark):
+    rows = [(float(i % 5), f"s{i % 3}", float(i % 2), f"c{i % 4}", i % 2 + 1) for i in range(4000)]
+    df = spark.createDataFrame(rows, "y double, s string, x double, c string, w int")
+    prep = prepare(df, fespan.parse("y ~ x | s | c"), "w")
+    near, far = rows_of(prep, FitControl(), True), rows_of(prep, FitControl(local_bytes=0), False)
+    assert isinstance(near, ArrayRows) and len(near.y) == 60 and near.n.sum() == 4000 and isinstance(far, TableRows) and far.df.count() < 61
+    assert set(far.df.columns) == {"_y", "_w", "_x0", "_f0", "_n", "_o"}
+    plain = df.withColumn("z", F.monotonically_increasing_id() * 1e-9)
+    for vcov in ("iid", "hetero", "cluster"):
+        a = fespan.fepoisson("y ~ x | s | c", df, weights="w", vcov=vcov, control=TIGHT)
+        b = fespan.fepoisson("y ~ x | s | c", plain, weights="w", vcov=vcov, offset="z * 0", control=TIGHT)
+        assert np.allclose(a.beta, b.beta) and np.allclose(a.vcov_matrix, b.vcov_matrix)
+
+
+#: A separation example with two effects: x2 is positive only where y is 0.
+SEPARATED = [(i, float(y), float((7 * i) % 5) / 2, float(x2), (i * 5) % 4 + 1, (i // 3) % 4 + 1) for i, (y, x2) in enumerate([(0, 1), (3, 0), (1, 0), (2, 0), (0, 2), (4, 0), (1, 0), (0, 0), (2, 0), (5, 0), (0, 3), (1, 0), (2, 0), (0, 0), (3, 0), (1, 0), (6, 0), (2, 0)])]
+
+
+@pytest.mark.parametrize("local", [0, 1 << 20])
+@pytest.mark.parametrize("how", [{}, {"sep_use_relu": False}, {"sep_use_simplex": False}])
+def test_separation(spark, local, how):
+    df = spark.createDataFrame(SEPARATED, "id long, y double, x1 double, x2 double, i int, j int")
+    with pytest.warns(UserWarning, match="Separation detected: 3"):
+        fit = fespan.fepoisson("y ~ x1 + x2 | i + j", df, control=TIGHT | how | {"local_bytes": local})
+    assert np.isnan(fit.coef()["x2"]) and fit.nobs["nobs_separated"] == 3 and fit.nobs["nobs"] == 18
+    assert {r.id for r in fit.fitted().where("fitted_values is null").collect()} == {0, 4, 10} == {r.id for r in fit.separated_rows().collect()}
+    assert "First" not in fit.print_separation("id") and "0, 4, 10" in fit.print_separation("id")
+    loose = fespan.fepoisson("y ~ x1 + x2 | i + j", df, control={"check_separation": False, "local_bytes": local})
+    assert loose.coef()["x2"] < -2
+    rest = fespan.fepoisson("y ~ x1 | i + j", df.where("x2 = 0"), control=TIGHT | {"check_separation": False})
+    assert abs(rest.coef()["x1"] - fit.coef()["x1"]) < 1e-6
+
+
+def test_widest_cone():
+    rng = np.random.default_rng(4)
+    for trial in range(60):
+        q, n = int(rng.integers(1, 4)), int(rng.integers(1, 12))
+        z = rng.integers(-2, 3, (n, q)).astype(float)
+        d = linalg.widest_cone(z, 2000)
+        # by enumeration: directions of a fine grid that no row is below
+        grid = rng.normal(size=(20000, q))
+        grid = np.concatenate([grid, rng.integers(-6, 7, (20000, q)).astype(float)])
+        ok = grid[(grid @ z.T >= -1e-12).all(axis=1)]
+        want = (ok @ z.T > 1e-9).any(axis=0) if len(ok) else np.zeros(n, bool)
+        got = z @ d > 0.5 if d is not None else np.zeros(n, bool)
+        assert (got >= want).all() and (d is None or (z @ d >= -1e-9).all()), trial
+
+
+def test_more_entries(panel):
+    fit = fespan.feglm("d ~ x + z | a | c", panel, family="binomial", control=TIGHT | {"compute_apes": True, "keep_tx": True, "keep_data": True})
+    same = fespan.fit_matrix(panel, "d", ["x", "z"], ["a"], ["c"], family="binomial", control=TIGHT)
+    assert np.allclose(fit.beta, same.beta) and np.allclose(fit.vcov_matrix, same.vcov_matrix)
+    again = fespan.fit_offset(fit, f"{fit.coef()['x']!r} * x + {fit.coef()['z']!r} * z")
+    a, b = (dict(f.fitted().select("id", "fitted_values").collect()) for f in (fit, again))
+    assert max(abs(a[i] - b[i]) for i in a) < 1e-7
+    t = fit.ape_table().collect()
+    assert [r.term for r in t] == ["x", "z"] == fit.vcov_apes()[0] and t[0].std_error > 0 and "Average partial effects" in str(fit) and fit.coef_apes()["x"] == t[0].estimate
+    tx = fit.tx().withColumn("w1", F.lit(1.0))
+    assert {"x_centred", "z_centred"} <= set(tx.columns)
+    with pytest.raises(ValueError, match="return_fe"):
+        fit.fixed_effects()
+    nb = fespan.fenegbin("y ~ x | a", panel, init_theta=2.0, link="sqrt")
+    assert nb.stats["iter_outer"] >= 2 and nb.stats["conv_outer"] and nb.stats["link"] == "sqrt"
+    for bad in ({"init_theta": -1.0}, {"link": "cloglog"}):
+        with pytest.raises(ValueError):
+            fespan.fenegbin("y ~ x | a", panel, **bad)
+    odd = panel.withColumnRenamed("x", "x | (x").withColumnRenamed("a", "a + b")
+    assert np.allclose(fespan.felm("y ~ `x | (x` + z | `a + b`", odd).beta, fespan.felm("y ~ x + z | a", panel).beta)
 
 
 def test_collinear_separated_missing(spark, panel):
@@ -188,10 +308,16 @@ def test_linalg():
     assert models.VCOV[0] == "iid"
 
 
-def test_incremental(panel):
-    fit = IncrementalOls("y", ["x", "z"], "a")
+def test_incremental(spark, panel, tmp_path):
+    fit = IncrementalOls(spark, f"{tmp_path}/state", "y", ["x", "z"], "a")
     for i in range(3):
         fit.add(panel.where(F.col("id") % 3 == i), i)
         fit.add(panel.where(F.col("id") % 3 == i), i)
     want = fespan.felm("y ~ x + z | a", panel)
     assert np.allclose(list(fit.coef().values()), want.beta, atol=1e-8)
+    # a stream of files, stopped and started again with the same checkpoint: the state lives in the folder
+    for half in (0, 1):
+        panel.where(F.col("id") % 2 == half).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        again = IncrementalOls(spark, f"{tmp_path}/state2", "y", ["x", "z"], "a")
+        again.attach(spark.readStream.schema(panel.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/check").awaitTermination()
+    assert np.allclose(list(again.coef().values()), want.beta, atol=1e-8)
