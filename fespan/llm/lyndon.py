@@ -88,10 +88,10 @@ def suffix_order(texts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
     rank = np.full(n + 1, 0, np.int64)
     ready = np.flatnonzero(missing == 0)
     final = np.zeros(n, np.int64)
-    bits = max(1, int(n + 1).bit_length())
+    bits, more = max(1, int(n + 1).bit_length()), max(1, int(wide).bit_length())
     while len(ready):
         own = members[_ranges(starts[ready], sizes[ready])]
-        key = (group[own] << (bits + 7)) | (np.minimum(repeats[own], 127) << bits) | rank[follow[own]]
+        key = (group[own] << (bits + more)) | (repeats[own] << bits) | rank[follow[own]]
         own = own[np.argsort(key)]
         spot = _ranges(starts[np.sort(ready)], sizes[np.sort(ready)])
         final[spot] = own
@@ -105,9 +105,9 @@ def suffix_order(texts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
     return row[final], col[final], keys
 
 
-def window_minima(buf: np.ndarray, off: np.ndarray, owner: np.ndarray, depth: int) -> np.ndarray:
-    """For each text (buf[off[i]:off[i+1]], bytes) and each of its windows of `depth` bytes, the least owner of a text of this shard
-    in which the window occurs. Rows: texts; columns: window starts; unused cells hold the largest integer."""
+def window_minima(buf: np.ndarray, off: np.ndarray, owner: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+    """For each text (buf[off[i]:off[i+1]], bytes) and each of its windows of `depth` bytes, the least owner of a text in which the
+    window occurs. Rows: texts; columns: window starts; unused cells hold the largest integer. group is not needed: all texts are sorted."""
     size = np.diff(off)
     rows = len(size)
     out = np.full((rows, max(1, int(size.max(initial=0)) - depth + 1)), np.iinfo(np.int64).max)

@@ -1,32 +1,39 @@
 """Exact removal of passages that begin in an earlier document too, over units that are words or bytes.
 
 A window is `depth` consecutive units. Every window picks an anchor: the run of `gram` units inside it whose hash is least (the
-leftmost of equals). Equal windows pick equal anchors, so windows can be compared within their anchor's shard. Consecutive windows
-of a document that pick the same place form a run; its text is at most 2 * depth - gram units.
-
-  1. each document's runs go to their anchor's shard as hashes (anchor, text): some bytes a run, no text;
-  2. a shard keeps the anchors seen in two documents, and asks one document for the text of each distinct run (copies of a run are
-     one text, with the least document id);
+leftmost of equals), grams that very many documents hold last. Equal windows pick equal anchors, so windows can be compared within their
+anchor's shard. Consecutive windows of a document that pick the same place form a run; its text is at most 2 * depth - gram units.
+
+  0. grams that stand in very many documents are counted, so that a common phrase among other words does not make one hot shard;
+  1. each document's runs go to their anchor's shard as hashes (anchor, text): some bytes a run, no text. Of equal runs in one batch
+     of documents only the earliest document's goes; the later ones are settled on the spot, so a passage that is everywhere arrives
+     once a batch;
+  2. a shard keeps the anchors seen in two documents. Where all runs of an anchor are one text, all documents but the earliest lose it;
+     else the shard asks one document for the text of each distinct run;
   3. the texts are sent to the shard, which indexes them; the index gives each window's least document id;
   4. every occurrence of a run learns which of its windows begin in an earlier document, and goes back to its document;
   5. documents drop the units that those windows cover.
 
-Shards (anchors) and cells (documents) are as many as the bytes ask for; each is one bounded task. Batches of rows travel as packed
-columns, so the shuffles move few large rows. Nothing is sampled, capped or collected.
+Runs count as one text if 40 bits of the anchor's hash and 64 bits of the text's are equal; the hashes mix words as wholes, so no
+pattern of letters cancels out. (Of 10^13 runs, two different ones agree with a chance under one in 10^5.) Within an index texts are
+compared as they are. Shards (anchors) and cells (documents) are as many as the bytes ask for; each is one bounded task. Batches of
+rows travel as packed columns, so the shuffles move few large rows. Nothing is sampled, capped or collected but the list of common
+grams, which has GRAMS_KNOWN entries at most.
 """
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from .common import freed, give_back, keep_freed, materialize, slices, small_batches, text_bytes
 
@@ -35,6 +42,16 @@ SHARD_BYTES = 20_000_000
 CELL_BYTES = 8_000_000
 SLICE = 1 << 18
 INDEX_SYMBOLS = 100_000
+#: Common grams: in this many documents at least (or more, so that GRAMS_KNOWN bounds their number), and in so many of a batch. Only
+#: hashes in the lowest 1 / LOW are counted, as anchors are low.
+COMMON_DOCS = 1000
+COMMON_IN_BATCH = 16
+GRAMS_KNOWN = 1_000_000
+LOW = 8
+#: Shards that a batch deals its runs to directly; more are dealt in two rounds.
+DEAL = 4096
+#: All windows of a run.
+ALL = np.iinfo(np.uint64).max
 #: Stands for a null id: after all others, and equal to itself.
 LAST = np.iinfo(np.int64).max
 MULT = 0x9E3779B97F4A7C15
@@ -44,12 +61,14 @@ _powers: list[np.ndarray] = []
 
 @dataclass(frozen=True)
 class Kind:
-    """Units (words or bytes), their windows, and the index of a shard: (units, offsets, owners, depth) -> window minima."""
+    """Units (words or bytes), their windows, the index of a shard: (bytes, offsets, owners, groups, depth) -> window minima, and the
+    sorted hashes of common grams."""
 
     words: bool
     depth: int
     gram: int
     minima: Callable
+    common: np.ndarray | None = None
 
 
 def pack(*arrays) -> bytes:
@@ -91,8 +110,21 @@ def word_places(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    h = prefix(BYTE[buf])
-    return mixed((h[end] - h[begin]) * powers(len(buf))[1][begin] + (end - begin).astype(np.uint64))
+    """Hashes of words: those of up to 16 bytes as two integers, longer ones as wholes."""
+    size = end - begin
+    wide = np.concatenate([buf, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(wide) - 7,), "<u8", wide, strides=(1,))
+    part = []
+    for skip in (0, 8):
+        left = np.clip(size - skip, 0, 8).astype(np.uint64)
+        mask = np.where(left == 0, np.uint64(0), ~np.uint64(0) >> (np.uint64(8) * (np.uint64(8) - np.maximum(left, np.uint64(1)))))
+        part.append(eight[np.minimum(begin + skip, len(eight) - 1)] & mask)
+    h = mixed(mixed(mixed(part[0] + np.uint64(MULT)) ^ part[1]) + size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        raw = buf.tobytes()
+        h[long] = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y], 17) for x, y in zip(begin[long].tolist(), end[long].tolist(), strict=True)), np.uint64, len(long))
+    return h
 
 
 def units(kind: Kind, buf: np.ndarray, off: np.ndarray):
@@ -108,15 +140,24 @@ def units(kind: Kind, buf: np.ndarray, off: np.ndarray):
     return values, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(off) - 1))]), begin - doc, end - doc
 
 
-def runs(values: np.ndarray, off: np.ndarray, depth: int, gram: int):
+def grams(values: np.ndarray, gram: int) -> np.ndarray:
+    h, inverse = prefix(values), powers(len(values))[1]
+    return mixed((h[gram:] - h[:-gram]) * inverse[: len(values) - gram + 1])
+
+
+def runs(values: np.ndarray, off: np.ndarray, kind: Kind):
     """(anchor, text, doc, start, end) of the runs of all documents, in order: hashes, document number, first and last unit + 1."""
+    depth, gram = kind.depth, kind.gram
     n, wide = len(values), depth - gram + 1
     none = np.zeros(0, np.int64)
     if n < depth:
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     h, inverse = prefix(values), powers(n)[1]
     g = mixed((h[gram:] - h[:-gram]) * inverse[: n - gram + 1])
-    least = (g & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64)
+    least = ((g >> np.uint64(1)) & np.uint64(0x7FFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64)
+    if kind.common is not None and len(kind.common):
+        at = np.minimum(np.searchsorted(kind.common, g), len(kind.common) - 1)
+        least |= (kind.common[at] == g).astype(np.uint64) << np.uint64(63)
     span = 1
     while 2 * span <= wide:
         least = np.minimum(least[:-span], least[span:])
@@ -134,13 +175,15 @@ def runs(values: np.ndarray, off: np.ndarray, depth: int, gram: int):
     return g[place[head]], text, own[head], start, end
 
 
-def _six(x: np.ndarray, k: int) -> np.ndarray:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :k])
+def _low(x: np.ndarray, k: int) -> np.ndarray:
+    """The k low bytes of each integer, plane by plane."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :k].T)
 
 
 def _wide(x: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x), 8), np.uint8)
-    out[:, : x.shape[1]] = x
+    """The integers behind _low."""
+    out = np.zeros((x.shape[1], 8), np.uint8)
+    out[:, : x.shape[0]] = x.T
     return out.view(np.uint64).ravel()
 
 
@@ -188,57 +231,157 @@ def _documents(batches, size: int):
         yield joined()
 
 
-def _send_runs(batches, kind: Kind, shards: int):
+def _count_grams(batches, kind: Kind):
+    """(gram, documents): grams of low hash that stand in COMMON_IN_BATCH documents of a batch at least."""
+    keep_freed()
+    for _, _, data, off in _documents(batches, 32 * SLICE):
+        found = []
+        for i, j in slices(off, SLICE):
+            values, uoff, _, _ = units(kind, data[off[i] : off[j]], off[i : j + 1] - off[i])
+            if len(values) < kind.gram:
+                continue
+            g = grams(values, kind.gram)
+            at = np.flatnonzero(g < np.uint64((1 << 64) // LOW))
+            doc = np.searchsorted(uoff, at, "right") - 1
+            inside = at + kind.gram <= uoff[doc + 1]
+            g, doc = g[at[inside]], doc[inside]
+            order = np.lexsort((doc, g))
+            g, doc = g[order], doc[order]
+            found.append(g[np.concatenate([[True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])])] if len(g) else g)
+        g, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        often = n >= COMMON_IN_BATCH
+        yield pa.RecordBatch.from_arrays([pa.array(g[often].view(np.int64)), pa.array(n[often])], names=["gram", "n"])
+        del found, data
+        give_back()
+
+
+def common_grams(work: DataFrame, kind: Kind, size: int) -> np.ndarray:
+    """Sorted hashes of the grams that stand in very many documents: their documents sum to `size` / LOW at most, so with this bound
+    on each there are GRAMS_KNOWN of them at most."""
+    least = max(COMMON_DOCS, size // (LOW * GRAMS_KNOWN))
+    t = work.mapInArrow(lambda it: _count_grams(it, kind), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(t.select("gram").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _send_runs(batches, kind: Kind, shards: int, cells: int):
+    """Runs to their shards; of equal runs of a batch only the earliest (part -1 - cell: the others, which lose all their windows)."""
     keep_freed()
     for ids, tags, data, off in _documents(batches, 32 * SLICE):
         found = []
         for i, j in slices(off, SLICE):
             values, uoff, _, _ = units(kind, data[off[i] : off[j]], off[i : j + 1] - off[i])
-            anchor, text, doc, _, _ = runs(values, uoff, kind.depth, kind.gram)
+            anchor, text, doc, _, _ = runs(values, uoff, kind)
             found.append((anchor, text, doc + i, _ordinals(doc)))
         anchor, text, doc, ordinal = (np.concatenate(x) for x in zip(*found, strict=True))
         out = {"part": [], "blob": []}
-        for part, (a, t, d, o) in _split((anchor >> np.uint64(40)).astype(np.int64) % shards, anchor, text, doc, ordinal):
-            who, count = np.unique(d, return_counts=True)
-            out["part"].append(part)
-            out["blob"].append(pack(ids[who], tags[who], count.astype(np.uint32), _six(a, 5), _six(t, 6), np.ascontiguousarray(o.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)))
+        if len(text):
+            key = text ^ mixed(anchor)
+            order = np.argsort(key, kind="stable")
+            head = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+            least = np.repeat(np.minimum.reduceat(ids[doc[order]], np.flatnonzero(head)), np.diff(np.append(np.flatnonzero(head), len(order))))
+            late = np.zeros(len(text), bool)
+            late[order] = ids[doc[order]] > least
+            for cell, (d, o) in _split(_cell(ids[doc[late]], cells), doc[late], ordinal[late]):
+                out["part"].append(-1 - cell)
+                out["blob"].append(pack(ids[d], tags[d], o, np.full(len(d), ALL)))
+            anchor, text, doc, ordinal = (x[~late] for x in (anchor, text, doc, ordinal))
+        part = (anchor >> np.uint64(24)).astype(np.int64) % shards
+        for p, (a, t, d, o) in _split(part // -(-shards // DEAL) if shards > DEAL else part, anchor, text, doc, ordinal):
+            out["part"].append(p)
+            out["blob"].append(_run_blob(ids, tags, d, a, t, o))
         yield _batch(out, "part blob")
         del found, anchor, text, doc, ordinal, out, data
         give_back()
 
 
+def _run_blob(ids, tags, doc, anchor, text, ordinal) -> bytes:
+    """Runs of documents, in order of their documents."""
+    who, count = np.unique(doc, return_counts=True)
+    return pack(ids[who], tags[who], count.astype(np.uint32), _low(anchor >> np.uint64(24), 5), _low(text, 8), _low(ordinal.astype(np.uint32), 4))
+
+
+def _runs_in(blobs: list):
+    """(ids, tags, anchor, text, ordinal) of the runs in blobs."""
+    cols = list(zip(*(unpack(x) for x in blobs), strict=True))
+    count = np.concatenate(cols[2])
+    ids, tags = np.repeat(np.concatenate(cols[0]), count), np.repeat(np.concatenate(cols[1]), count)
+    return ids, tags, *(_wide(np.concatenate(c, axis=1)) for c in cols[3:5]), _wide(np.concatenate(cols[5], axis=1)).astype(np.int64)
+
+
+def _deal_again(batches, shards: int):
+    """The second round of a deal to many shards: what came for a range of shards goes to each of them, in larger pieces."""
+    keep_freed()
+
+    def dealt(blobs):
+        ids, tags, anchor, text, ordinal = _runs_in(blobs)
+        doc = np.cumsum(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])) - 1
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        for p, (a, t, d, o) in _split(anchor.astype(np.int64) % shards, anchor << np.uint64(24), text, doc, ordinal):
+            yield p, _run_blob(ids[first], tags[first], d, a, t, o)
+
+    held, room = [], 4 * CELL_BYTES
+
+    def flush():
+        out = {"part": [], "blob": []}
+        for p, blob in dealt(held):
+            out["part"].append(p)
+            out["blob"].append(blob)
+        return _batch(out, "part blob")
+
+    for b in batches:
+        own = b.column("part").to_numpy()
+        yield b.filter(pa.array(own < 0))
+        for x in b.column("blob").filter(pa.array(own >= 0)):
+            held.append(x.as_py())
+            room -= len(held[-1])
+            if room <= 0:
+                yield flush()
+                held, room = [], 4 * CELL_BYTES
+    if held:
+        yield flush()
+
+
 def _cell(ids: np.ndarray, cells: int) -> np.ndarray:
     return ((ids.astype(np.uint64) * np.uint64(MULT)) >> np.uint64(33)).astype(np.int64) % cells
 
 
 def _shard_runs(t: pa.Table, cells: int) -> pa.Table:
-    """The runs worth a look in one shard. kind 0: for a cell, the runs whose text is asked for; kind 1: all occurrences."""
-    part = t.column("part")[0].as_py()
-    cols = list(zip(*(unpack(x.as_py()) for x in t.column("blob")), strict=True))
-    count = np.concatenate(cols[2])
-    ids, tags = np.repeat(np.concatenate(cols[0]), count), np.repeat(np.concatenate(cols[1]), count)
-    anchor, text = _wide(np.concatenate(cols[3])), _wide(np.concatenate(cols[4]))
-    ordinal = np.ascontiguousarray(np.concatenate(cols[5], axis=1).T).view(np.uint32).ravel()
-    del cols
+    """The runs worth a look in one shard. kind 0: for a cell, the runs whose text is asked for; kind 1: all occurrences of the runs of
+    anchors with several texts; kind 2: for a cell, occurrences that are settled."""
+    part, blobs = t.column("part")[0].as_py(), [x.as_py() for x in t.column("blob")]
+    out = {"kind": [], "part": [], "cell": [], "blob": []}
+
+    def add(*row):
+        for k, v in zip(out, row, strict=True):
+            out[k].append(v)
+
+    if part < 0:
+        for x in blobs:
+            add(2, part, -1 - part, x)
+        return pa.Table.from_batches([_batch(out, "kind part cell blob")])
+    ids, tags, anchor, text, ordinal = _runs_in(blobs)
     order = np.argsort(anchor, kind="stable")
     head = np.flatnonzero(np.concatenate([[True], np.diff(anchor[order]) != 0])) if len(order) else np.zeros(0, np.int64)
     shared = np.minimum.reduceat(ids[order], head) != np.maximum.reduceat(ids[order], head) if len(order) else np.zeros(0, bool)
     keep = order[np.repeat(shared, np.diff(np.append(head, len(order))))]
-    out = {"kind": [], "part": [], "cell": [], "blob": []}
     if len(keep):
         anchor, text, ids, tags, ordinal = (x[keep] for x in (anchor, text, ids, tags, ordinal))
         order = np.lexsort((ids, text, anchor))
         anchor, text, ids, tags, ordinal = (x[order] for x in (anchor, text, ids, tags, ordinal))
         new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         new = new_anchor | np.concatenate([[True], text[1:] != text[:-1]])
-        run = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
+        group, run = np.cumsum(new_anchor) - 1, np.cumsum(new) - 1
+        owner = ids[np.flatnonzero(new)]
+        one = (np.bincount(group[new]) == 1)[group]  # anchors with a single text
+        late = one & (ids > owner[run])
+        for cell, x in _split(_cell(ids[late], cells), ids[late], tags[late], ordinal[late], np.full(int(late.sum()), ALL)):
+            add(2, part, cell, pack(*x))
+        ids, tags, ordinal, group, new = (x[~one] for x in (ids, tags, ordinal, group, new))
+        run, first = np.cumsum(new) - 1, np.flatnonzero(new)
         for cell, x in _split(_cell(ids[first], cells), ids[first], tags[first], ordinal[first], run[first]):
-            for k, v in zip(out, (0, part, cell, pack(*x)), strict=True):
-                out[k].append(v)
-        group = (np.cumsum(new_anchor) - 1)[first]
-        for k, v in zip(out, (1, part, 0, pack(ids, tags, ordinal, run.astype(np.uint32), ids[first], group.astype(np.uint32))), strict=True):
-            out[k].append(v)
+            add(0, part, cell, pack(*x))
+        if len(run):
+            add(1, part, 0, pack(ids, tags, ordinal, run.astype(np.uint32), ids[first], group[first].astype(np.uint32)))
     return pa.Table.from_batches([_batch(out, "kind part cell blob")])
 
 
@@ -280,7 +423,7 @@ def _located(kind: Kind, docs: pa.Table, ids: np.ndarray, tags: np.ndarray, ordi
                 yield (own[i:j], tag[i:j], buf, o), None
                 continue
             values, uoff, begin, end = units(kind, buf, o)
-            _, _, doc, start, stop = runs(values, uoff, kind.depth, kind.gram)
+            _, _, doc, start, stop = runs(values, uoff, kind)
             first = np.searchsorted(doc, np.arange(j - i))
             n = hi[i:j] - lo[i:j]
             who = np.repeat(np.arange(j - i), n)
@@ -337,10 +480,7 @@ def _search(texts: pa.Table, marks: pa.Table, kind: Kind, cells: int) -> pa.Tabl
             rows = at[lo:hi]
             n = size[rows]
             own = buf[np.repeat(off[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-            o = np.concatenate([[0], np.cumsum(n)])
-            if kind.words:
-                own, o, _, _ = units(kind, own, o)
-            least = kind.minima(own, o, owner[lo:hi], kind.depth)
+            least = kind.minima(own, np.concatenate([[0], np.cumsum(n)]), owner[lo:hi], group[lo:hi], kind.depth)
             for a in range(head[lo], head[hi], 1 << 16):
                 b = min(a + (1 << 16), head[hi])
                 early = least[run[a:b].astype(np.int64) - lo] < ids[a:b, None]
@@ -366,10 +506,13 @@ def _cut(docs: pa.Table, answers: pa.Table, kind: Kind) -> pa.Table:
     for (own, tag, buf, off), found in _located(kind, docs, ids, tags, ordinal):
         raw = buf.tobytes()
         if found:
-            row, who, start, _, uoff, begin, end = found
+            row, who, start, stop, uoff, begin, end = found
             gone = np.zeros(uoff[-1] + 1, np.int64)
-            for k in range(kind.depth):
-                s = start[(mask[row] >> np.uint64(k)) & np.uint64(1) == 1] + k
+            whole = mask[row] == ALL  # of a run of 64 windows this says the same
+            np.add.at(gone, start[whole], 1)
+            np.add.at(gone, stop[whole], -1)
+            for k in range(kind.depth - kind.gram + 1):
+                s = start[~whole & ((mask[row] >> np.uint64(k)) & np.uint64(1) == 1)] + k
                 np.add.at(gone, s, 1)
                 np.add.at(gone, s + kind.depth, -1)
             gone = np.cumsum(gone)[:-1] > 0
@@ -399,23 +542,28 @@ def remove_repeats(docs: DataFrame, kind: Kind, id_col: str = "doc_id", text_col
     A unit goes if it is covered by a window whose units also begin in a document of smaller id, judged on the input. Null text
     counts as empty; a null id is larger than all others; rows that repeat an id are never earlier than each other.
     """
+    if not 1 <= kind.gram <= kind.depth <= kind.gram + 63 or kind.depth > 255:
+        raise ValueError("a window must hold the gram, at most 63 units more, and at most 255 units.")
+    if not isinstance(docs.schema[id_col].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError(f"'{id_col}' has to be an integer.")
     work = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), tag_of(text_col).alias("tag"), F.col(text_col).alias("text"))
     size = work.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, cells = 1 + int(size // SHARD_BYTES), 1 + int(size // CELL_BYTES)
-    sent = work.mapInArrow(lambda it: _send_runs(it, kind, shards), "part long, blob binary")
+    found = common_grams(work, kind, size)
+    if len(found):
+        kind = replace(kind, common=found)
+    sent = work.mapInArrow(lambda it: _send_runs(it, kind, shards, cells), "part long, blob binary")
+    if shards > DEAL:
+        sent = sent.repartition(min(DEAL, shards), "part").mapInArrow(lambda it: _deal_again(it, shards), "part long, blob binary")
     seen = materialize(sent.groupBy("part").applyInArrow(lambda t: freed(_shard_runs(t, cells)), "kind long, part long, cell long, blob binary"), "runs")
     parcels = work.mapInArrow(lambda it: _send_documents(it, cells), "cell long, blob binary")
     wants, marks = seen.where("kind = 0").select("part", "cell", "blob"), seen.where("kind = 1").select("part", "blob")
     texts = parcels.groupBy("cell").cogroup(wants.groupBy("cell")).applyInArrow(lambda a, b: freed(_send_texts(a, b, kind)), "part long, blob binary")
     answers = texts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(lambda a, b: freed(_search(a, b, kind, cells)), "cell long, blob binary")
-    answers = materialize(answers, "answers")
+    answers = materialize(answers, "answers").unionByName(seen.where("kind = 2").select("cell", "blob"))
     out = parcels.groupBy("cell").cogroup(answers.groupBy("cell")).applyInArrow(lambda a, b: freed(_cut(a, b, kind)), "id long, tag long, n_units long, n_removed long, n_spans long, kept binary")
     return out.withColumn("id", F.when(F.col("id") != LAST, F.col("id")))
 
 
 def tag_of(text_col: str) -> F.Column:
     return F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFFFFFF))
-
-
-def sha256(blob: bytes) -> str:
-    return hashlib.sha256(blob).hexdigest()

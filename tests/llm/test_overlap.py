@@ -34,7 +34,7 @@ def removed(rows, window, split):
 @pytest.mark.parametrize("small", [False, True])
 def test_words_and_bytes(spark, monkeypatch, small):
     if small:
-        for name, size in (("SHARD_BYTES", 30_000), ("CELL_BYTES", 20_000), ("SLICE", 5_000), ("INDEX_SYMBOLS", 3_000)):
+        for name, size in (("SHARD_BYTES", 30_000), ("CELL_BYTES", 20_000), ("SLICE", 5_000), ("INDEX_SYMBOLS", 3_000), ("DEAL", 3), ("COMMON_DOCS", 4), ("COMMON_IN_BATCH", 2)):
             monkeypatch.setattr(overlap, name, size)
     rows = made(seed=8) + [(900, "ab " * 300, None, None, None, None, None), (901, "ab " * 200, None, None, None, None, None)]
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
@@ -71,5 +71,73 @@ def test_indexes():
             for t, o in zip(texts, own, strict=True):
                 for j in range(len(t) - depth + 1):
                     best[t[j : j + depth]] = min(best.get(t[j : j + depth], 99), o)
-            for m in (lyndon.window_minima(buf, off, own, depth), fmindex.window_minima(buf.astype(np.uint64), off, own, depth)):
-                assert all(m[i, j] == best[t[j : j + depth]] for i, t in enumerate(texts) for j in range(len(t) - depth + 1))
+            m = lyndon.window_minima(buf, off, own, np.zeros(rows, np.int64), depth)
+            assert all(m[i, j] == best[t[j : j + depth]] for i, t in enumerate(texts) for j in range(len(t) - depth + 1))
+            spaced = [b" ".join(bytes([c]) for c in t) for t in texts]
+            at = np.concatenate([[0], np.cumsum([len(t) for t in spaced])])
+            m = fmindex.window_minima(np.frombuffer(b"".join(spaced), np.uint8), at, own, np.zeros(rows, np.int64), depth)
+            assert all(m[i, j] == best[t[j : j + depth]] for i, t in enumerate(texts) for j in range(len(t) - depth + 1))
+
+
+def test_matching_statistics():
+    """Lengths of the longest matches of streamed texts that the index does not hold, with words it has never seen."""
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        letters, depth = int(rng.integers(2, 5)), int(rng.integers(3, 20))
+        texts = [rng.integers(1, 1 + letters, int(rng.integers(1, 50))) for _ in range(int(rng.integers(1, 9)))]
+        owner = rng.integers(0, 9, len(texts))
+        index = fmindex.FmIndex(np.concatenate([np.append(t, 0) for t in texts]), np.repeat(owner, [len(t) + 1 for t in texts]), depth)
+        streamed = sorted((rng.integers(0, 1 + letters, int(rng.integers(1, 60))) for _ in range(7)), key=len, reverse=True)
+        size = np.array([len(t) for t in streamed])
+        pad = np.zeros((7, size[0]), np.int64)
+        for i, t in enumerate(streamed):
+            pad[i, : len(t)] = t
+        inside = [{tuple(t[i : i + k]) for t in texts for i in range(len(t) - k + 1)} for k in range(depth + 1)]
+        for rows, start, length, least in index.matches(pad, size):
+            for r, s, n, o in zip(rows, start, length, least, strict=True):
+                t = streamed[r]
+                want = max(k for k in range(min(depth, len(t) - s) + 1) if k == 0 or tuple(t[s : s + k]) in inside[k])
+                assert n == want
+                if n == depth:
+                    assert o == min(w for w, x in zip(owner, texts, strict=True) if any(tuple(x[i : i + depth]) == tuple(t[s : s + depth]) for i in range(len(x))))
+
+
+def test_letters_that_cancel(spark):
+    """Words that differ as Thue-Morse words do have one sum under any odd multiplier; they are different words."""
+    first = "a"
+    for _ in range(12):
+        first += first.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, first + " " + rest), (2, first.translate(str.maketrans("ab", "ba")) + " " + rest), (3, first + " " + rest)]
+    got = {r.doc_id: r.n_removed for r in substring.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+
+
+def test_limits(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        substring.remove_repeated_passages(docs, window=80, gram=8)
+    with pytest.raises(TypeError):
+        substring.remove_repeated_passages(docs.selectExpr("cast(doc_id as string) as doc_id", "text"))
+
+
+def test_common_phrase(spark, monkeypatch):
+    """A phrase that most documents hold, each time among other words, is no anchor; a whole common passage still goes."""
+    rng = np.random.default_rng(5)
+    words = [f"v{i}" for i in range(3000)]
+    phrase, passage = "one two three four five six seven eight nine", " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(rng.choice(words, 60)) + f" {phrase} " + " ".join(rng.choice(words, 60)) + (f" {passage}" if i % 3 == 0 else "")) for i in range(300)]
+    monkeypatch.setattr(overlap, "COMMON_DOCS", 100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    kind = overlap.Kind(True, 50, 8, fmindex.window_minima)
+    work = docs.selectExpr("doc_id as id", "0L as tag", "text")
+    monkeypatch.setattr(overlap, "LOW", 1)
+    common = overlap.common_grams(work, kind, 1)
+    assert 2 <= len(common) <= 60
+    buf, off = np.frombuffer("".join(r[1] for r in rows).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])])
+    values, uoff, _, _ = overlap.units(kind, buf, off)
+    plain, spared = (overlap.runs(values, uoff, k)[0] for k in (kind, overlap.replace(kind, common=common)))
+    most = lambda x: np.unique(x, return_counts=True)[1]
+    assert np.isin(spared, common).sum() < 0.3 * len(spared) and len(plain) > 1000 and (most(spared) > 100).sum() <= 60
+    got = [(str(r.doc_id), r.n_words, r.n_removed, r.n_spans, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substring.remove_repeated_passages(docs).collect()]
+    assert sorted(got) == removed(rows, 50, WORD.findall)
