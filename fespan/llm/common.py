@@ -33,25 +33,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (tests, local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode without one (tests) a folder is made."""
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if there:
         return there.rstrip("/")
     known = sc._jsc.sc().getCheckpointDir()
     if known.isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share.")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="fespan-"))
         known = sc._jsc.sc().getCheckpointDir()
     return known.get().rstrip("/")
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/fespan-{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends there, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/fespan-{name}-{uuid.uuid4().hex}"
+    path = own_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df (in any case) has them."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that would clash (in any case) with the result columns."""
     low = {n.lower() for n in names}

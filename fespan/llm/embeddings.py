@@ -41,12 +41,13 @@ def budgets(d: int, blocks: int, cosine: float) -> np.ndarray:
 
 
 def _vectors(batches, id_col: str, vec_col: str):
-    """(id, raw): the vector as little-endian doubles; null where it can link with nothing."""
+    """(id, raw): the vector as little-endian doubles, divided by a power of two so that its largest component is about one (its
+    square can neither overflow nor vanish, and no digit changes); null where it can link with nothing."""
     for b in batches:
         raw = []
         for v in b.column(vec_col).to_pylist():
             x = None if not v or any(y is None for y in v) else np.array(v, "<f8")
-            raw.append(None if x is None or not np.isfinite(x).all() or not x.any() or not np.isfinite(x @ x) or x @ x == 0 else x.tobytes())
+            raw.append(None if x is None or not np.isfinite(x).all() or not x.any() else np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])).tobytes())
         yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(raw, pa.binary())], names=["id", "raw"])
 
 
@@ -81,18 +82,19 @@ def _compare(t: pa.Table, blocks: int, cosine: float) -> pa.Table:
     x, y, cls, n, guest, tile, norm = (a[order] for a in (x, y, cls, n, guest, tile, norm))
     home = np.flatnonzero(guest == 0)
     yb, third = y[:, lo:hi].astype(np.float32), y[:, min(lo + 2, hi - 1)]
-    sq = np.einsum("ij,ij->i", yb, yb)
+    sq, one = np.einsum("ij,ij->i", yb, yb)[:, None], np.ones((len(yb), 1), np.float32)
+    near, other = np.concatenate([-2 * yb, sq, one], axis=1), np.ascontiguousarray(np.concatenate([yb, one, sq], axis=1).T)
     left, right = [], []
     for i in range(0, len(home), TILE):
         a = home[i : i + TILE]
         for j in range(0, len(x), TILE):
-            b = np.arange(j, min(j + TILE, len(x)))
-            if third[b[0]] - third[a[-1]] > np.sqrt(limit[k]) or third[a[0]] - third[b[-1]] > np.sqrt(limit[k]):
+            b = slice(j, min(j + TILE, len(x)))
+            if third[b.start] - third[a[-1]] > np.sqrt(limit[k]) or third[a[0]] - third[b.stop - 1] > np.sqrt(limit[k]):
                 continue
-            far = sq[a][:, None] + sq[b][None] - 2 * (yb[a] @ yb[b].T)
-            r, s = np.nonzero(far <= np.float32(limit[k] + 1e-5))
+            hit = np.flatnonzero((near[a] @ other[:, b]).ravel() <= np.float32(limit[k] + 1e-5))
+            r, s = hit // (b.stop - j), hit % (b.stop - j)
             if len(r):
-                r, s = a[r], b[s]
+                r, s = a[r], s + j
                 keep = ((guest[s] == 1) | (r < s)) & ((tile[r] != tile[s]) | (p == q))
                 left.append(r[keep])
                 right.append(s[keep])

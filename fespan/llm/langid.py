@@ -21,7 +21,7 @@ SAMPLE_ROWS = 4000
 LANG_ROWS = 200
 SAMPLE_TEXT_BYTES = 16_000
 SLICE = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+LATIN = re.compile(r"[A-Za-z]")
 NONE = "und"
 
 
@@ -150,9 +150,14 @@ def _balanced(got: list[tuple[int, str, str]], rows: int, lang_rows: int) -> lis
     return out
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; digits, fractions, circled and Roman numerals are none."""
+    return LATIN.search(text) is not None or any(map(str.isalpha, text))
+
+
 def predict(texts: list[str | None], raw: list[bytes], model: Model | None) -> tuple[list[str], np.ndarray]:
     langs, score = [NONE] * len(texts), np.zeros(len(texts))
-    rows = [i for i, t in enumerate(texts) if t and model and LETTER.search(t)]
+    rows = [i for i, t in enumerate(texts) if t and model and has_letter(t)]
     if rows:
         p = _softmax((_raw_scores([raw[i] for i in rows], model.scores) + model.bias) / model.temperature)
         for i, k, s in zip(rows, p.argmax(axis=1), p.max(axis=1), strict=True):

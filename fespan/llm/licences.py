@@ -37,6 +37,8 @@ TITLES = {
     "Unlicense": ("Unlicense",),
     "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0"),
 }
+#: First words of known texts that a test of lines lists.
+FIRST_WORDS = 1000
 #: What licence files may leave out at the end: the closing line and instructions for use.
 TAIL = re.compile(r"(\n\s*END OF TERMS AND CONDITIONS)?\n\s*(APPENDIX:|Appendix:|ADDENDUM:|How to Apply These Terms)")
 #: Known texts, fixed values: whole licences and the usual one-line notices; standard_texts() adds the files.
@@ -57,7 +59,8 @@ KNOWN = (
 def canonical(text: F.Column) -> F.Column:
     """Lower case, no copyright lines, words joined by one space, canonical spellings."""
     t = F.lower(F.regexp_replace(text, COPYRIGHT, "\n"))
-    t = F.concat(F.lit(" "), F.regexp_replace(t, PUNCTUATION, " "), F.lit(" "))
+    # two spaces between words, so that each of several equal words has its own
+    t = F.concat(F.lit(" "), F.regexp_replace(t, PUNCTUATION, "  "), F.lit(" "))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(F.regexp_replace(t, " +", " "))
@@ -82,7 +85,7 @@ def standard_texts() -> list[tuple[str, list[str], list[str], list[str]]]:
 
 
 def known_digests(spark: SparkSession, known=None) -> DataFrame:
-    """(known_digest, license): one row for each known text. known: a list of (license, text), or by default KNOWN and
+    """(known_digest, license, first): one row for each known text; first: its first canonical word. known: a list of (license, text), or by default KNOWN and
     standard_texts(), their links with http and https."""
     parts = [(n, [""], [t], [""]) for n, t in known] if known is not None else [(n, [""], [t], [""]) for n, t in KNOWN] + standard_texts()
 
@@ -93,7 +96,17 @@ def known_digests(spark: SparkSession, known=None) -> DataFrame:
     rows = rows.withColumn("a", F.explode("a")).withColumn("b", F.explode("b")).withColumn("c", F.explode("c")).select("license", F.concat("a", F.lit("\n"), "b", "c").alias("text"))
     if known is None:
         rows = rows.select("license", F.explode(F.array("text", F.replace("text", F.lit("https://"), F.lit("http://")), F.replace("text", F.lit("http://"), F.lit("https://")))).alias("text"))
-    return rows.select(digest(F.col("text")).alias("known_digest"), "license").groupBy("known_digest").agg(F.min("license").alias("license"))
+    first = F.substring_index(canonical(F.col("text")), " ", 1)
+    return rows.select(digest(F.col("text")).alias("known_digest"), "license", first.alias("first")).groupBy("known_digest").agg(F.min("license").alias("license"), F.min("first").alias("first"))
+
+
+def _may_be_known(known: DataFrame):
+    """Whether a line's first word is that of a known text (every line with a word, if known does not say or has very many)."""
+    words = [r[0] for r in known.select("first").distinct().limit(FIRST_WORDS + 1).collect()] if "first" in known.columns else None
+    if words is None or len(words) > FIRST_WORDS or None in words:
+        return lambda line: line.rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]|[A-Z]")
+    spelt = {*words, *(a for a, b in SPELLINGS if b.split(" ")[0] in words)}
+    return lambda line: F.regexp_extract(F.lower(line), r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)", 1).isin(*sorted(spelt))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,12 +115,14 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     digest: SHA-256 of the whole canonical text; license: the known text it equals, or null; notices: sorted, comma-joined
     licences of the document's lines that are known texts by themselves ('' if none). Null text: null digest and license, no
     notice. Each repeated row gets its result (rows of one id and one digest share their notices); columns named like results
-    are replaced. The joins are equi-joins on digests; only lines that speak of a licence are hashed and joined.
+    are replaced. known: rows (known_digest, license), and first if lines are to be left out whose first word no known text begins
+    with; others cannot equal one. The joins are equi-joins on digests.
     """
     known = known_digests(docs.sparkSession) if known is None else known
-    base = without(docs, "digest", "license", "notices", "known_digest", "_lines")
+    may, known = _may_be_known(known), known.select("known_digest", "license")
+    base = without(docs, "digest", "license", "notices", "known_digest", "_lines", "_id", "_digest")
     text = F.col(text_col)
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike("(?i)licen[sc]e"))
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), may)
     marked = materialize(base.withColumn("digest", digest(text)).withColumn("_lines", F.array_distinct(lines)).drop(text_col), "licences")
     found = marked.select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"), F.explode("_lines").alias("_line")).withColumn("known_digest", digest(F.col("_line"))).join(known, "known_digest")
     notices = found.groupBy("_id", "_digest").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import decontaminate, embeddings, langid, licences, mixing, simhash, sql, substring, suffixdedup, tokens, urlfilter
-from .common import materialize, shared_dir, table
+from .common import materialize, own_path, table
 
 
 def op1_substring(spark, sf_dir) -> DataFrame:
@@ -28,7 +26,7 @@ def op3_token_counts(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", "lang", "text")
     counted = tokens.count_tokens(docs.withColumn("old_tokens", F.ceil(F.coalesce(F.length("text"), F.lit(0)) / 4).cast("long")))
     counted = materialize(counted, "tokens")
-    roll = tokens.TokenRollup(spark, f"{shared_dir(spark)}/fespan-rollup-{uuid.uuid4().hex}")
+    roll = tokens.TokenRollup(spark, own_path(spark, "rollup"))
     roll.commit("1-estimates", tokens.inserts(counted.withColumn("tokens", F.col("old_tokens"))))
     roll.commit("2-counts", tokens.revisions(counted))
     roll.commit("3-empty", tokens.deletes(counted.where("tokens = 0")))
@@ -59,7 +57,8 @@ def op8_licences(spark, sf_dir) -> DataFrame:
 
 
 def op9_urls(spark, sf_dir) -> DataFrame:
-    """Labels belong to pages by id: labels.doc_id is the page_id of the crawl the page came with; bad: toxic or of low quality."""
+    """An assumption: labels.doc_id is taken as the page_id of the page that a document came from; bad: toxic or of low quality. The
+    operator itself takes any table of outcomes (id, bad)."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0).alias("bad"))
     return urlfilter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels).select("page_id", "host", "path", "rule", "verdict")
 
@@ -85,4 +84,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring": sql.OP1_SUBSTRING, "op2_decontaminate": sql.OP2_DECONTAMINATE}
+    return {"op1_substring": sql.OP1_SUBSTRING, "op2_decontaminate": sql.OP2_DECONTAMINATE, "op6_embeddings": sql.OP6_EMBEDDINGS, "op9_urls": sql.op9_urls(), "op10_suffix_array": sql.OP10_SUFFIX_ARRAY}

@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express; each reads the same tables."""
 
+from .urlfilter import BAD, LEAST, MOST, PRIOR, RULES, SUFFIXES, SURE, TOP
+
 OP1_SUBSTRING = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 49 <= len(w) THEN array_to_string(w[i:i + 49], ' ') END AS s
@@ -26,3 +28,55 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit,
        coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
+
+OP10_SUFFIX_ARRAY = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS c, CASE WHEN 2 * (i + 50) <= length(h) THEN substr(h, 2 * i + 1, 100) END AS s
+      FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) / 2 AS BIGINT))) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS least_id FROM p WHERE s IS NOT NULL GROUP BY s),
+g AS (SELECT p.doc_id, p.i, p.c, max(CASE WHEN f.least_id < p.doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS 49 PRECEDING) AS gone
+      FROM p LEFT JOIN f ON p.s = f.s),
+r AS (SELECT *, gone > coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) AS begins FROM g),
+k AS (SELECT doc_id, sum(gone) AS n, count(*) FILTER (WHERE begins) AS spans, coalesce(string_agg(c, '' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(d.h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+OP6_EMBEDDINGS = r"""
+WITH RECURSIVE v AS (SELECT vec_id, x FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)
+  WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_max([abs(c) for c in x]) > 0),
+u AS MATERIALIZED (SELECT vec_id, [c / m for c in x] AS x FROM (SELECT vec_id, x, list_max([abs(c) for c in x]) AS m FROM v)),
+e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT w.vec_id, coalesce(n, 0) AS n_links, c.component_id, w.vec_id = c.component_id AS kept
+FROM embeddings w LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) l ON w.vec_id = l.a JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON w.vec_id = c.a
+"""
+
+
+def op9_urls() -> str:
+    """The reputation in three levels, written out; the posterior's distribution function as its power series."""
+    rules = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h}{p}'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
+    two = "(" + ", ".join(f"'{s}'" for s in SUFFIXES) + ")"
+
+    def strength(level: str) -> str:
+        noise = "n * prior * (1 - prior)"
+        spread = f"(sum(pow(bad - n * prior, 2) - {noise}) / sum(n * (n - 1)))"
+        return f"m_{level} AS (SELECT CASE WHEN sum(n) = 0 OR sum(n * (n - 1)) = 0 OR sum(pow(bad - n * prior, 2) - {noise}) <= 0 THEN {MOST} ELSE round(greatest({LEAST}, least({MOST}, sum({noise}) / sum(n) / {spread} - 1)), 6) END AS m FROM l_{level})"
+
+    mean = "(bad + m * prior) / (n + m)"
+    series = f"list_sum([exp(k * ln({BAD}) + lgamma(a + b + k) - lgamma(a + b) - lgamma(a + 1 + k) + lgamma(a + 1)) for k in range(0, 4000)])"
+    return f"""
+WITH t AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(u, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(u, '://[^/?#]*([^?#]*)', 1) AS path FROM t),
+q AS (SELECT *, string_split(host, '.') AS s, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') IN {two} AS two FROM h),
+p AS (SELECT page_id, host, path, array_to_string(list_slice(s, CASE WHEN two THEN -3 ELSE -2 END, -1), '.') AS domain, array_to_string(list_slice(s, CASE WHEN two THEN -2 ELSE -1 END, -1), '.') AS suffix FROM q),
+o AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+c AS (SELECT host, domain, suffix, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM p LEFT JOIN o ON p.page_id = o.doc_id GROUP BY ALL),
+l_suffix AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + {PRIOR * TOP!r}) / (sum(n) + {TOP}) FROM c) AS prior FROM c GROUP BY suffix), {strength("suffix")},
+l_domain AS (SELECT c.domain, c.suffix, sum(c.n) AS n, sum(c.bad) AS bad, any_value(s.prior) AS prior FROM c JOIN (SELECT suffix, {mean} AS prior FROM l_suffix, m_suffix) s ON c.suffix = s.suffix GROUP BY ALL), {strength("domain")},
+l_host AS (SELECT c.host, c.domain, sum(c.n) AS n, sum(c.bad) AS bad, any_value(s.prior) AS prior FROM c JOIN (SELECT domain, {mean} AS prior FROM l_domain, m_domain) s ON c.domain = s.domain GROUP BY ALL), {strength("host")},
+b AS (SELECT host, bad + m * prior AS a, n - bad + m * (1 - prior) AS b FROM l_host, m_host),
+r AS (SELECT host, 1 - exp(a * ln({BAD}) + b * ln({1 - BAD}) + lgamma(a + b) - lgamma(a) - lgamma(b) - ln(a)) * {series} AS sure FROM b),
+v AS (SELECT *, CASE {rules} END AS best FROM p LEFT JOIN r USING (host))
+SELECT page_id, host, path, string_split(best, ' ')[2] AS rule, coalesce(string_split(best, ' ')[1], CASE WHEN sure >= {SURE} THEN 'block' ELSE 'allow' END) AS verdict FROM v
+"""

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lyndon
+from .common import fresh
 from .overlap import Kind, remove_repeats, tag_of
 
 WINDOW = 50
@@ -31,9 +32,11 @@ def _decoded(batches):
 
 
 def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_col: str = "n_chars", **how) -> DataFrame:
-    """docs with the text replaced by what is kept (a character that lost one of its bytes goes as a whole) and n_col by its length."""
+    """docs with the text replaced by what is kept (a character that lost one of its bytes goes as a whole) and n_col by its length.
+    Rows and columns are those of docs, whatever the columns' names; rows with a null id or text stay; id_col is an integer."""
     found = remove_repeated_bytes(docs, id_col, text_col, **how).where("n_removed > 0").select(F.col(id_col).alias("_id"), F.col("tag").alias("_tag"), "kept")
-    found = found.mapInArrow(_decoded, "_id long, _tag long, _text string").dropDuplicates(["_id", "_tag"])
-    whole = docs.withColumn("_t", tag_of(text_col)).join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tag")), "left")
-    kept = F.when(F.col("_tag").isNotNull(), F.col("_text")).otherwise(F.col(text_col))
+    i, tag, text, own = fresh(docs, "_id", "_tag", "_text", "_own")
+    found = found.mapInArrow(_decoded, "_id long, _tag long, _text string").dropDuplicates(["_id", "_tag"]).toDF(i, tag, text)
+    whole = docs.withColumn(own, tag_of(text_col)).join(found, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(own) == F.col(tag)), "left")
+    kept = F.when(F.col(tag).isNotNull(), F.col(text)).otherwise(F.col(text_col))
     return whole.select(*[kept.alias(c) if c == text_col else F.length(kept).cast(docs.schema[c].dataType).alias(c) if c == n_col else F.col(c) for c in docs.columns])

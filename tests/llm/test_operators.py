@@ -77,14 +77,19 @@ def test_decontaminate(spark, docs, rows, empty, monkeypatch):
                     hit |= set(range(i, i + k))
                     items |= wins[tuple(w[i : i + k])]
         want.append((r[0] if r[0] is not None else -1, len(w), len(hit), sorted(items), bool(hit) and 20 * len(hit) >= len(w)))
-    for size in (256_000, 60):
+    for size, most, kept in ((256_000, 1 << 20, 3), (60, 1 << 20, 99), (60, 1 << 20, 1), (60, 200, 1)):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+        monkeypatch.setattr(decontaminate, "KEPT", kept)
         got = decontaminate.decontaminate(docs, b).collect()
         assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in got) == sorted(want)
     for r in got:
         assert sum(len(words(r.text[s.start : s.end])) for s in r.spans) == r.n_hit
     clean = decontaminate.decontaminate(docs, b, only_clean=True)
     assert clean.columns == docs.columns and clean.count() == sum(not w[-1] for w in want)
+    odd = docs.withColumnsRenamed({"lang": "_words", "source": "_RANGES", "n_chars": "_items"})
+    again = decontaminate.decontaminate(odd, b)
+    assert again.columns == [*[c for c in odd.columns if c != "Spans"], *decontaminate.RESULT] and again.where("contaminated").count() == sum(w[-1] for w in want)
     assert decontaminate.decontaminate(empty, b).count() == 0
     assert decontaminate.decontaminate(docs, b.limit(0)).where("contaminated").count() == 0
 
@@ -168,8 +173,9 @@ def test_language(spark, docs, empty):
     held = [r for r in out if r.held_out and r.lang]
     assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
     assert sum(r.rejected for r in held) / len(held) < 0.02 and all(0 <= r.score <= 1 for r in out)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 --"), (4, "the and of that")], "doc_id long, text string")
-    assert [r.lang_pred for r in langid.identify(odd, model).orderBy("doc_id").collect()] == ["und", "und", "und", "en"]
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 --"), (4, "the and of that"), (5, "½²³"), (6, "Ⅷ ① ٣"), (7, "é")], "doc_id long, text string")
+    got = langid.identify(odd, model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got[:6]] == ["und", "und", "und", "en", "und", "und"] and got[6].lang_pred != "und" and got[4].score == 0
     assert langid.identify(docs, None, accepted_only=True).count() == 0
     assert langid.fit(empty) is None and langid.identify(empty, model).count() == 0
 
@@ -206,6 +212,7 @@ def test_embeddings(spark, monkeypatch, tile_rows):
         c = rng.normal(size=24)
         vecs += [c * rng.uniform(0.5, 2)] + [c + rng.normal(size=24) * 0.22 for _ in range(6)]
     vecs = [v.astype(np.float32).tolist() for v in vecs]
+    vecs += [[1e-30] * 24, [2e-30] * 24, [1e30] * 24, [3e38] + [0.0] * 23, [1e-42] + [0.0] * 23]  # tiny and huge ones link like any other
     vecs += [vecs[0], vecs[0], vecs[20], [0.0] * 24, None, [], [1.0, None], [float("nan")] * 24, [float("inf")] + [1.0] * 23, [1.0, 2.0], [2.0, 4.0]]
     ids = [int(x) for x in rng.permutation(len(vecs) + 5)[: len(vecs)]]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(spark.createDataFrame([(i, v, 3, "x") for i, v in zip(ids, vecs, strict=True)], "vec_id long, embedding array<float>, label int, kept string")).collect()}
@@ -215,6 +222,7 @@ def test_embeddings(spark, monkeypatch, tile_rows):
         for j in range(i):
             if ok[i] and ok[j] and len(vecs[i]) == len(vecs[j]):
                 a, b = np.array(vecs[i], float), np.array(vecs[j], float)
+                a, b = a / np.abs(a).max(), b / np.abs(b).max()
                 if a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) >= 0.95:
                     links.append((i, j))
     assert len(links) > 50
@@ -223,6 +231,8 @@ def test_embeddings(spark, monkeypatch, tile_rows):
         least = min(ids[j] for j in range(len(ids)) if cl[j] == cl[i])
         assert got[v] == (n[i], least, v == least)
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    far = spark.createDataFrame([(1, [1e-200] * 4), (2, [1e-200] * 4), (3, [1e200] * 4), (4, [5e-324, 0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.n_links, r.component_id) for r in embeddings.near_vectors(far).orderBy("vec_id").collect()] == [(2, 1), (2, 1), (2, 1), (0, 4)]
 
 
 def test_mixing(spark, docs, rows, empty, monkeypatch):
@@ -266,6 +276,48 @@ def test_licences(spark, docs, empty):
     got = sorted((r.doc_id, r.license, r.notices) for r in licences.scan(t).collect())
     assert got == sorted([(1, "MIT", ""), (2, None, ""), (3, None, "MIT"), (3, None, "MIT"), (4, None, ""), (5, None, "")], key=str)
     assert licences.scan(docs).count() == docs.count() and licences.scan(empty).count() == 0
+    # any known texts: lines that do not speak of a licence, and equal words side by side
+    known = licences.known_digests(spark, [("PD", "Public domain."), ("X", "centre licence licence licence")])
+    t = spark.createDataFrame([(1, "code\npublic   DOMAIN\nmore"), (2, "Center, license; license: LICENCE"), (3, "nothing"), (None, "public domain")], "doc_id long, text string")
+    for k in (known, known.drop("first")):
+        assert {(r.doc_id, r.license, r.notices) for r in licences.scan(t, k).collect()} == {(1, None, "PD"), (2, "X", "X"), (3, None, ""), (None, "PD", "PD")}
+
+
+def canonical(text):
+    """The canonical form by plain string steps."""
+    out = []
+    for line in text.split("\n"):
+        bare = line.lstrip(" \t#*;%/!|>-")
+        low = bare.lower()
+        if re.match(r"copyright[ \t]+(\(c\)|©|(19|20)\d\d\b)", low) or re.match(r"all rights reserved[ .!\t]*$", low) or bare.startswith("©"):
+            continue
+        out += re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    spelt = dict(licences.SPELLINGS)
+    return " ".join(spelt.get(w, w) for w in out)
+
+
+def test_licences_brute_force(spark):
+    """Random files from a small vocabulary, notices among them, against string steps and a dictionary."""
+    rng = random.Random(9)
+    vocab = ["the", "licence", "license", "Centre", "centre", "labour", "copyright", "notice", "é", "(a)", "1.", "whilst,", "use--of"]
+    notices = ["Copyright (c) 2020 A B", "# Copyright 1999 X", "All rights reserved.", "© me", "copyright notice and more"]
+
+    def made_text():
+        lines = [" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(0, 3))]
+        return "\n".join(line if rng.random() < 0.7 else rng.choice(notices) for line in lines)
+
+    known = {}
+    for i in range(30):
+        t = " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 3)))
+        if canonical(t):
+            known.setdefault(canonical(t), (f"L{i % 7}", t))
+    rows = [(i, made_text()) for i in range(400)]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), licences.known_digests(spark, list(known.values()))).collect()}
+    names = {c: n for c, (n, _) in known.items()}
+    assert sum(r.license is not None for r in got.values()) > 20
+    for i, t in rows:
+        assert got[i].digest == hashlib.sha256(canonical(t).encode()).hexdigest()
+        assert got[i].license == names.get(canonical(t)) and got[i].notices == ",".join(sorted({names[canonical(x)] for x in t.split("\n") if canonical(x) in names}))
 
 
 def test_urls(spark):
@@ -281,6 +333,58 @@ def test_urls(spark):
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(200)] + [(None, 1), (5, None)], "id long, bad int")
     got = urlfilter.filter_urls(many, labels).collect()
     assert {r.verdict for r in got if r.host.startswith("bad")} == {"block"} and {r.verdict for r in got if r.host.startswith("good")} == {"allow"}
+    clash = many.selectExpr("*", "1 as bound", "2 as _sure", "3 as _rule", "4 as domain", "5 as SUFFIX", "6 as VERDICT")
+    out = urlfilter.filter_urls(clash, labels, rules=())
+    assert out.columns == ["page_id", "url", "bound", "_sure", "_rule", "domain", "SUFFIX", "host", "path", "rule", "verdict"]
+    assert {(r.page_id, r.verdict, r.rule) for r in out.collect()} == {(r.page_id, r.verdict, None) for r in got}
+    parts = urlfilter.with_parts(spark.createDataFrame([("http://a.b.co.uk/x",), ("http://co.uk",), ("http://a.b.c.de",), ("http://localhost/",)], "url string")).collect()
+    assert [(r.domain, r.suffix) for r in parts] == [("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("c.de", "de"), ("localhost", "localhost")]
+
+
+def test_beta():
+    rng = np.random.default_rng(1)
+    # the density's sum over midpoints where it is broad; symmetry where it is narrow
+    grid = (np.arange(400_000) + 0.5) / 400_000
+    for _ in range(40):
+        a, b, x = rng.uniform(1, 8), rng.uniform(1, 20), float(rng.uniform(0.02, 0.98))
+        density = grid ** (a - 1) * (1 - grid) ** (b - 1)
+        assert abs(float(urlfilter.beta_cdf(x, a, b)) - density[grid <= x].sum() / density.sum()) < 1e-4
+        a, b = rng.uniform(0.05, 60), rng.uniform(0.05, 900)
+        assert abs(float(urlfilter.beta_cdf(x, a, b)) + float(urlfilter.beta_cdf(1 - x, b, a)) - 1) < 1e-9
+    assert np.allclose(urlfilter.log_gamma(np.array([0.5, 1, 5, 100.0])), [0.5 * np.log(np.pi), 0, np.log(24), 359.1342053695754])
+
+
+def test_reputation(spark):
+    """Posterior means and bounds recomputed by plain loops, and the bound by draws."""
+    rng = random.Random(6)
+    counts = []
+    for d in range(40):
+        for h in range(rng.randint(1, 4)):
+            n = rng.randint(0, 30)
+            counts.append((f"h{h}.d{d}.s{d % 3}", f"d{d}.s{d % 3}", f"s{d % 3}", n, sum(rng.random() < (0.05 + 0.2 * (d % 3)) for _ in range(n))))
+    got = {r.host: r for r in urlfilter.reputation(spark.createDataFrame(counts, "host string, domain string, suffix string, n long, bad long")).collect()}
+
+    def level(key, up, above):
+        rows = defaultdict(lambda: [0, 0, None])
+        for c in counts:
+            rows[c[key]][0] += c[3]
+            rows[c[key]][1] += c[4]
+            rows[c[key]][2] = above[c[up]] if up is not None else above
+        noise = sum(n * p * (1 - p) for n, _, p in rows.values())
+        extra = sum((b - n * p) ** 2 - n * p * (1 - p) for n, b, p in rows.values())
+        pairs, total = sum(n * (n - 1) for n, _, _ in rows.values()), sum(n for n, _, _ in rows.values())
+        m = urlfilter.MOST if extra <= 0 else round(min(urlfilter.MOST, max(urlfilter.LEAST, noise / total / (extra / pairs) - 1)), 6)
+        return {k: (b + m * p) / (n + m) for k, (n, b, p) in rows.items()}, rows, m
+
+    top = (sum(c[4] for c in counts) + urlfilter.PRIOR * urlfilter.TOP) / (sum(c[3] for c in counts) + urlfilter.TOP)
+    suffix, _, _ = level(2, None, top)
+    domain, _, _ = level(1, 2, suffix)
+    host, rows, m = level(0, 1, domain)
+    draws = np.random.default_rng(0)
+    for k, mean in host.items():
+        n, b, p = rows[k]
+        assert abs(got[k]["mean"] - mean) < 1e-9
+        assert abs(got[k].sure - (draws.beta(b + m * p, n - b + m * (1 - p), 20_000) > urlfilter.BAD).mean()) < 0.02
 
 
 def test_tokens(spark, docs, rows, tmp_path):
@@ -304,7 +408,17 @@ def test_tokens(spark, docs, rows, tmp_path):
     assert roll.commit("b2", tokens.revisions(a.withColumn("old_tokens", F.col("tokens")).withColumn("tokens", F.col("tokens") + 2)), tokens.deletes(counted.where("source is null")))
     left = {k: [v[0], v[1] + 2 * v[0] * (k[0] == "a")] for k, v in want.items() if k[0] is not None}
     assert get() == left and roll.batches() == ["b1", "b2"]
-    assert hashlib.sha256(b"").hexdigest() == decontaminate.digest(None)
+    # a batch that stopped before its marker does not count, and can be tried again; compaction changes no total
+    roll._fs.delete(roll._path(f"{roll.path}/batch=b2/_SUCCESS"), False)
+    assert roll.batches() == ["b1"] and get() == want
+    assert roll.commit("b2", tokens.revisions(a.withColumn("old_tokens", F.col("tokens")).withColumn("tokens", F.col("tokens") + 2)), tokens.deletes(counted.where("source is null")))
+    for more in ("b3", "b4"):
+        roll.compact()
+        assert get() == left and not roll.commit("b1", tokens.inserts(counted)) and not roll.commit("b2", tokens.inserts(counted))
+        assert roll.commit(more, tokens.inserts(a)) and roll.commit(f"{more}-back", tokens.deletes(a)) and get() == left
+    assert roll.batches() == ["b1", "b2", "b3", "b3-back", "b4", "b4-back"] and len(roll._folders("batch=")) == 2 and len(roll._folders("base=")) == 1
+    odd = tokens.count_tokens(docs.withColumnsRenamed({"lang": "Tokens", "source": "VERSION"}))
+    assert odd.columns == ["doc_id", "n_chars", "Spans", "SIZE", "tokens", "version"] and odd.count() == len(rows)
 
 
 def test_licences_standard_files(spark):
