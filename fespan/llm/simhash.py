@@ -195,10 +195,10 @@ def _fp_schema(df: DataFrame, text_col: str):
     return StructType([*[f for f in df.schema.fields if f.name != text_col], StructField("fp", LongType())])
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42, null_ids: bool = False) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42, null_ids: bool = True) -> DataFrame:
     """One row of each group of near copies: the one with the least id (nulls last), of those the one with the least hash of the
     text, of rows equal in both any one. Columns are unchanged. Rows meet their choice by id and text, nulls included, not by id alone.
-    null_ids: groups without any id keep a row too; by default they go, as a caller who counts on ids expects."""
+    Groups without any id keep a row too, unless null_ids is False."""
     key = "_key"
     while any(c.lower().startswith(key) for c in docs.columns):
         key += "_"

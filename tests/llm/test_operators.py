@@ -131,7 +131,8 @@ def test_simhash(docs, rows, empty, monkeypatch, tile_rows):
     assert got == want
     assert simhash.simhash(empty).count() == 0
     kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {w[2] for w in want if w[2] is not None}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {w[2] for w in want}
+    assert {r.doc_id for r in simhash.keep_one(docs, null_ids=False).collect()} == {w[2] for w in want if w[2] is not None}
 
 
 def test_keep_one_rows(spark, rows):
