@@ -40,14 +40,35 @@ def budgets(d: int, blocks: int, cosine: float) -> np.ndarray:
     return np.array([total * (b - a) / d for a, b in blocks_of(d, blocks)])
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """A size mark (4 or 8) and the components: in single precision where that holds every digit."""
+    small = x.astype("<f4")
+    return b"\4" + small.tobytes() if (small == x).all() else b"\10" + x.astype("<f8").tobytes()
+
+
+def _length(raw: bytes) -> int:
+    return (len(raw) - 1) // raw[0]
+
+
+def _unpacked(raws: list[bytes], d: int) -> np.ndarray:
+    """Rows of doubles."""
+    marks = np.array([r[0] for r in raws])
+    out = np.empty((len(raws), d))
+    for mark in np.unique(marks).tolist():
+        own = np.flatnonzero(marks == mark)
+        flat = np.frombuffer(b"".join([raws[i] for i in own.tolist()]), np.uint8).reshape(len(own), 1 + d * mark)
+        out[own] = np.ascontiguousarray(flat[:, 1:]).view(f"<f{mark}")
+    return out
+
+
 def _vectors(batches, id_col: str, vec_col: str):
-    """(id, raw): the vector as little-endian doubles, divided by a power of two so that its largest component is about one (its
-    square can neither overflow nor vanish, and no digit changes); null where it can link with nothing."""
+    """(id, raw): the vector divided by a power of two so that its largest component is about one (its square can neither overflow nor
+    vanish, and no digit changes), packed; null where it can link with nothing."""
     for b in batches:
         raw = []
         for v in b.column(vec_col).to_pylist():
             x = None if not v or any(y is None for y in v) else np.array(v, "<f8")
-            raw.append(None if x is None or not np.isfinite(x).all() or not x.any() else np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])).tobytes())
+            raw.append(None if x is None or not np.isfinite(x).all() or not x.any() else _packed(np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))))
         yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(raw, pa.binary())], names=["id", "raw"])
 
 
@@ -57,9 +78,9 @@ def _cells(batches, blocks: int, cosine: float):
     for b in batches:
         rows = {}
         for i, r in enumerate(b.column("raw").to_pylist()):
-            rows.setdefault(len(r) // 8, []).append((i, r))
+            rows.setdefault(_length(r), []).append((i, r))
         for d, own in rows.items():
-            y = rotate(np.frombuffer(b"".join(r for _, r in own), "<f8").reshape(-1, d), rotation(d))
+            y = rotate(_unpacked([r for _, r in own], d), rotation(d))
             at, limit = pa.array([i for i, _ in own]), budgets(d, blocks, cosine)
             for k, (lo, hi) in enumerate(blocks_of(d, blocks)):
                 side = np.sqrt(limit[k])
@@ -73,7 +94,7 @@ def _compare(t: pa.Table, blocks: int, cosine: float) -> pa.Table:
     """Verified links of one cell (or pair of its tiles): a pair counts in the first block that admits it, so in one place."""
     d, k = t.column("d")[0].as_py(), t.column("k")[0].as_py()
     p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
-    x = np.frombuffer(b"".join(t.column("raw").to_pylist()), "<f8").reshape(-1, d)
+    x = _unpacked(t.column("raw").to_pylist(), d)
     cls, n, guest, tile = (t.column(c).to_numpy() for c in ("cls", "n", "guest", "t"))
     y, limit, span = rotate(x, rotation(d)), budgets(d, blocks, cosine), blocks_of(d, blocks)
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
