@@ -147,7 +147,7 @@ def _irls(rows, prep, fam, control, kind, data, weights, offset, beta_start=None
     keep, warm, found, conv, dev, it = None, None, None, False, None, 0
     # effects are centred loosely while coefficients move, and to the full tolerance before a fit may end
     best, crit = min(control.center_tol, 1e-8), 1.0
-    tol = max(best, 1e-4)
+    tol = best if fam.name == "tobit" else max(best, 1e-4)
     for it in range(1, control.iter_max + 1):
         if fam.name == "tobit":
             s = rows.sigma(fam, state)
@@ -208,16 +208,18 @@ def _irls(rows, prep, fam, control, kind, data, weights, offset, beta_start=None
 
 
 def _step(rows, fam, control, old: State, new: State, dev0):
-    """The longest step rho = 1, factor, factor^2, ... that does not raise the deviance beyond noise; many rho share one pass.
+    """The longest step rho = 1, factor, factor^2, ... that does not raise the deviance beyond noise; many rho share one pass. A tobit
+    step must lower its sum of squares by dev_tol: its weights do not follow from that sum, so that the fit ends where it no longer falls.
 
     Returns (state, deviance, whether a step was taken, change of the coefficients and of the linear predictor, relative)."""
+    most = -control.dev_tol if fam.name == "tobit" else NOISE
     tried, rhos = 0, [1.0]
     while tried < control.iter_inner_max and rhos:
         (aa, ad, dd, n), before, dev, ok = rows.compare(fam, old, new, rhos)
         if dev0 is None:
             dev0 = before if np.isfinite(before) else np.inf
         for rho, d, valid in zip(rhos, dev, ok, strict=True):
-            if valid and np.isfinite(d) and (not np.isfinite(dev0) or d - dev0 <= NOISE * (0.1 + abs(d))):
+            if valid and np.isfinite(d) and (not np.isfinite(dev0) or d - dev0 <= most * (0.1 + abs(d))):
                 state = _mixed(old, new, rho)
                 size = np.sqrt(max(aa + 2 * rho * ad + rho * rho * dd, 0.0) / max(n, 1.0))
                 crit = rho * np.sqrt(max(dd, 0.0) / max(n, 1.0)) / max(size, 0.1)
@@ -226,7 +228,7 @@ def _step(rows, fam, control, old: State, new: State, dev0):
                 return state, d, True, crit
         tried += len(rhos)
         last = rhos[-1]
-        rhos = [last * control.step_halving_factor ** (k + 1) for k in range(min(8, control.iter_inner_max - tried)) if last * control.step_halving_factor ** (k + 1) > 1e-6]
+        rhos = [last * control.step_halving_factor ** (k + 1) for k in range(min(8, control.iter_inner_max - tried)) if last * control.step_halving_factor ** (k + 1) > (0 if fam.name == "tobit" else 1e-6)]
     if old.effects is None and new.effects is not None:
         return new, dev0, False, 0.0
     return old, dev0, False, 0.0
