@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -16,6 +18,8 @@ SLICE = 1 << 20
 #: Distinct fingerprints of one block value that a task compares; more are dealt out as pairs of tiles.
 TILE_ROWS = 8192
 TILE = 512
+#: Blocks that two fingerprints within the radius agree on: two make keys of 32 bits, so that few rows of many meet by chance.
+SPARE = 2
 #: For a byte: its bits spread over eight byte lanes.
 SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
@@ -127,7 +131,8 @@ def _pairs(batches, radius: int):
     rows = np.flatnonzero(np.repeat(size <= 64, size))
     for s in range(1, 64):
         rows = rows[rows + s < len(fp)]
-        rows = rows[group[rows] == group[rows + s]]
+        # rows of a group ascend by bit count: one that is beyond the radius here stays so further on
+        rows = rows[(group[rows] == group[rows + s]) & (ones[rows + s].astype(np.int64) - ones[rows] <= radius)]
         if not len(rows):
             break
         near = rows[np.bitwise_count(fp[rows] ^ fp[rows + s]) <= radius]
@@ -156,13 +161,16 @@ def _pairs(batches, radius: int):
 def link_fingerprints(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints (fp) within radius bits.
 
-    Two fingerprints within the radius agree on one of radius + 1 blocks of bits. Rows meet by block value, are sorted by bit
-    count and compared in tiles. A value with more than TILE_ROWS rows is dealt out as pairs of salted tiles to many tasks.
+    Two fingerprints within the radius agree on all but `radius` of radius + SPARE blocks of bits: rows meet by the bits of every
+    choice of SPARE blocks, are sorted by bit count and compared in tiles, and pairs of tiles whose counts differ by more than the radius are
+    skipped. A value with more than TILE_ROWS rows is dealt out as pairs of salted tiles to many tasks.
     """
-    width = 64 // (radius + 1)
-    cut = [(k * width, 64 - k * width if k == radius else width) for k in range(radius + 1)]
-    blocks = F.explode(F.array(*[F.struct(F.lit(k).alias("blk"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << n) - 1)).alias("val")) for k, (a, n) in enumerate(cut)])).alias("x")
-    rows = distinct.select("fp", blocks).select("fp", "x.*")
+    edge = [64 * k // (radius + SPARE) for k in range(radius + SPARE + 1)]
+    blocks = [sum(1 << i for i in range(a, b)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    masks = [sum(c) for c in combinations(blocks, SPARE)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    choices = F.explode(F.array(*[F.struct(F.lit(k).alias("blk"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("val")) for k, m in enumerate(signed)])).alias("x")
+    rows = distinct.select("fp", choices).select("fp", "x.*")
     hot = rows.groupBy("blk", "val").count().where(F.col("count") > TILE_ROWS).select("blk", "val", F.ceil(F.col("count") / TILE_ROWS).cast("int").alias("g"))
     rows = rows.join(hot, ["blk", "val"], "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("t", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
     rows = rows.select("blk", "val", "fp", "t", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("s")).select("blk", "val", F.least("t", "s").alias("p"), F.greatest("t", "s").alias("q"), "fp")
