@@ -100,6 +100,15 @@ class Result:
             out = t if out is None else out.union(t)
         return self._frame([], "fe string, level string, value double") if out is None else out
 
+    def attach_effects(self, df: DataFrame) -> DataFrame:
+        """df with <fe>_effect for each fixed effect: its level's value as in fixed_effects, null for a level that was not seen."""
+        shift = self.effects[-1].first() if len(self.effects) > 1 else 0.0
+        for k, (name, a) in enumerate(zip(self.spec.fe, self.effects, strict=True)):
+            a = a.shifted(shift if k == 0 else -shift if k == len(self.effects) - 1 else 0.0) if shift else a
+            t = a.table(df.sparkSession, "_level", [f"{name}_effect"], self.control.broadcast_levels)
+            df = df.join(t, column(name).try_cast(t.schema["_level"].dataType) == F.col("_level"), "left").drop("_level")
+        return df
+
     def tx(self) -> DataFrame:
         """The rows with <regressor>_centred: regressors less their means and effects (needs keep_tx)."""
         if not self.control.keep_tx:

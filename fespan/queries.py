@@ -464,6 +464,13 @@ def predict_glm(spark, d):
     return rounded(fit.predict(new).select("s_suppkey", "prediction"), "prediction")
 
 
+@query(WITHIN + "SELECT s_suppkey, round(v, 3) AS effect FROM supplier LEFT JOIN (SELECT l_suppkey, avg(l_extendedprice) - max(b) * avg(l_quantity) AS v FROM e GROUP BY 1) ON s_suppkey = l_suppkey")
+def attach_effects(spark, d):
+    """The fitted effects joined to a table of their levels."""
+    t = models.felm(PRICE, items(spark, d)).attach_effects(read_table(spark, d, "supplier").select("s_suppkey", F.col("s_suppkey").alias("l_suppkey")))
+    return rounded(t.select("s_suppkey", F.col("l_suppkey_effect").alias("effect")), "effect", digits=3)
+
+
 @query(steps.fitted("lineitem", "l_extendedprice", TWO, ["l_suppkey"], keys="l_orderkey") + steps.coefficients(TWO, steps.sandwich(2, "l_orderkey"), 4))
 def updated_formula(spark, d):
     fit = models.felm(PRICE, items(spark, d), control={"keep_data": True})
