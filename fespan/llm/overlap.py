@@ -50,6 +50,10 @@ GRAMS_KNOWN = 1_000_000
 LOW = 8
 #: Shards that a batch deals its runs to directly; more are dealt in two rounds.
 DEAL = 4096
+#: Blobs under so many bytes are not compressed; the kinds of their arrays.
+LEAN_BYTES = 1024
+DTYPES = {"i8": b"i", "u8": b"u", "u4": b"w", "u1": b"c", "i4": b"j"}
+NAMES = {v: f"<{k}" for k, v in DTYPES.items()}
 #: All windows of a run.
 ALL = np.iinfo(np.uint64).max
 #: Stands for a null id: after all others, and equal to itself.
@@ -72,11 +76,32 @@ class Kind:
 
 
 def pack(*arrays) -> bytes:
-    return zstandard.compress(pickle.dumps(arrays, protocol=5), 1)
+    """Arrays (and bytes) as one blob: small ones plainly, so that a deal to very many cells costs little more than its numbers, large
+    ones compressed."""
+    flat = [np.frombuffer(x, np.uint8) if isinstance(x, bytes) else x for x in arrays]
+    if sum(x.nbytes for x in flat) < LEAN_BYTES and all(x.ndim == 1 for x in flat):
+        heads = [bytes([1, 0, len(flat)])]
+        for x, given in zip(flat, arrays, strict=True):
+            heads.append(b"b" if isinstance(given, bytes) else DTYPES[x.dtype.str[1:]])
+            heads.append(len(x).to_bytes(2, "little"))
+        return b"".join(heads + [x.tobytes() for x in flat])
+    return b"\0" + zstandard.compress(pickle.dumps(arrays, protocol=5), 1)
 
 
 def unpack(blob: bytes):
-    return pickle.loads(zstandard.decompress(blob))
+    if blob[0] == 0:
+        return pickle.loads(zstandard.decompress(memoryview(blob)[1:]))
+    out, at = [], 3 + 3 * blob[2]
+    for k in range(blob[2]):
+        kind, n = blob[3 + 3 * k : 4 + 3 * k], int.from_bytes(blob[4 + 3 * k : 6 + 3 * k], "little")
+        if kind == b"b":
+            out.append(blob[at : at + n])
+            at += n
+            continue
+        x = np.frombuffer(blob, NAMES[kind], n, at)
+        at += x.nbytes
+        out.append(x)
+    return tuple(out)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

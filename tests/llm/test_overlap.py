@@ -102,6 +102,15 @@ def test_matching_statistics():
                     assert o == min(w for w, x in zip(owner, texts, strict=True) if any(tuple(x[i : i + depth]) == tuple(t[s : s + depth]) for i in range(len(x))))
 
 
+def test_blobs():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 7, 300):
+        given = (rng.integers(-9, 9, n), rng.integers(0, 9, n).astype(np.uint32), rng.integers(0, 2**63, n).astype(np.uint64), b"raw" * n)
+        got = overlap.unpack(overlap.pack(*given))
+        assert all(np.array_equal(a, b) and getattr(a, "dtype", None) == getattr(b, "dtype", None) for a, b in zip(given, got, strict=True))
+    assert len(overlap.pack(np.arange(3), np.arange(3))) < 70
+
+
 def test_letters_that_cancel(spark):
     """Words that differ as Thue-Morse words do have one sum under any odd multiplier; they are different words."""
     first = "a"
