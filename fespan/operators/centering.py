@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans.control import FitControl
 from .levels import ArrayLevels, TableLevels, checkpointed, with_effects
+from .linalg import solve
 
 #: Rounds of extrapolation after which the sum of squares is looked at.
 SSR_ROUNDS = 40
@@ -24,12 +25,18 @@ SSR_ROUNDS = 40
 
 @dataclass
 class Centered:
-    """gram: of all columns after the effects are taken out; levels: for each effect its coefficients, one column for each."""
+    """gram: of all columns after the effects are taken out; levels: for each effect its coefficients, one column for each; raw: the
+    columns' squares before, where gram is a difference of them."""
 
     gram: np.ndarray
     levels: list
     sweeps: int = 0
     settled: bool = True
+    raw: np.ndarray | None = None
+
+    def solved(self, tol: float) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients of the first column on the others, and which of these are kept."""
+        return solve(self.gram[1:, 1:], self.gram[1:, 0], tol, None if self.raw is None else self.raw[1:])
 
 
 def products(v: list[Column], w: Column) -> list[Column]:
@@ -190,7 +197,8 @@ def center(df: DataFrame, f: list[str], v: list[Column], w: Column, control: Fit
         r = t.agg(F.count("*"), *[F.sum(f"g{i}_{j}") for i in range(m) for j in range(i + 1)], *between).first()
         half = m * (m + 1) // 2
         levels = TableLevels(t.select("k", *[F.when(full, F.col(f"s{j}") / F.col("w")).otherwise(0.0).alias(f"v{j}") for j in range(m)]), r[0])
-        return Centered(square(r[1 : 1 + half], m) - square(r[1 + half :], m), [levels], 1)
+        raw = square(r[1 : 1 + half], m)
+        return Centered(raw - square(r[1 + half :], m), [levels], 1, True, np.diag(raw))
     if cells <= control.max_cells:
         return _center_cells(df.groupBy(*f).agg(*sums, *products(v, w)), f, m, control, start)
     return _center_tables(df.select(*f, w.alias("w"), *[x.alias(f"v{j}") for j, x in enumerate(v)]), f, m, control, start)
@@ -208,7 +216,7 @@ def _center_cells(cells: DataFrame, f: list[str], m: int, control: FitControl, s
     a, used, settled = own.solve(control, begin, mean)
     left = mean - own.fit(a)
     gram = raw - (mean * weight[:, None]).T @ mean + (left * weight[:, None]).T @ left
-    return Centered(gram, [ArrayLevels(k, x) for k, x in zip(keys, a, strict=True)], used, settled)
+    return Centered(gram, [ArrayLevels(k, x) for k, x in zip(keys, a, strict=True)], used, settled, np.diag(raw))
 
 
 def _center_tables(rows: DataFrame, f: list[str], m: int, control: FitControl, start) -> Centered:

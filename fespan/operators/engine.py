@@ -70,6 +70,10 @@ class ArrayRows:
         """Means of y and of the regressors, without weights."""
         return float(self.n @ self.y / self.n.sum()), self.n @ self.x / self.n.sum()
 
+    def raw_products(self) -> np.ndarray:
+        """Products of the regressors under the prior weights, nothing taken out."""
+        return (self.x * self.w[:, None]).T @ self.x
+
     def total(self) -> float:
         """Sum of squares of y around its weighted mean."""
         d = self.y - self.w @ self.y / self.w.sum()
@@ -211,6 +215,9 @@ class TableRows:
         r = self.df.agg(F.sum("_n"), F.sum(self.n * self.y), *[F.sum(self.n * F.col(c)) for c in self.prep.x]).first()
         return r[1] / r[0], np.array(r[2:], float) / r[0]
 
+    def raw_products(self) -> np.ndarray:
+        return square(self.df.agg(*products([F.col(c) for c in self.prep.x], self.w)).first(), len(self.prep.x))
+
     def total(self) -> float:
         r = self.df.agg(F.sum("_w"), F.sum(self.w * self.y)).first()
         d = self.y - F.lit(r[1] / r[0])
@@ -362,7 +369,7 @@ def _rectified(rows, means: np.ndarray, control: FitControl) -> State | None:
         if bounds is not None and (bounds[1] <= control.sep_zero_tol or bounds[0] >= -control.sep_zero_tol):
             return s if bounds[1] > max(control.sep_tol, 1e-5) else None
         found = fit()
-        b, _ = linalg.solve(found.gram[1:, 1:], found.gram[1:, 0], control.collin_tol)
+        b, _ = found.solved(control.collin_tol)
         b = np.nan_to_num(b)
         effects = [a.combined([1.0, *(-b)]) for a in found.levels]
         s = State(b, effects or None, 0.0)

@@ -7,13 +7,19 @@ import numpy as np
 from ..functions.families import erfc
 
 
-def kept_columns(gram: np.ndarray, tol: float) -> np.ndarray:
-    """Columns that add rank, earlier ones first: a column goes if its squared distance from the kept ones is below tol."""
+#: Share of a sum of squares that is noise of summation.
+NOISE = 1e-11
+
+
+def kept_columns(gram: np.ndarray, tol: float, raw: np.ndarray | None = None) -> np.ndarray:
+    """Columns that add rank, earlier ones first: a column goes if its squared distance from the kept ones is below tol, or noise.
+    raw: squares of the columns before something was taken out of them."""
     p = len(gram)
+    floor = np.maximum(tol, NOISE * np.maximum(np.abs(np.diag(gram)), 0.0 if raw is None else raw))
     basis, keep = np.zeros((p, 0)), np.zeros(p, bool)
     for j in range(p):
         left = gram[j, j] - basis[j] @ basis[j]
-        if not np.isfinite(left) or left < tol:
+        if not np.isfinite(left) or left < floor[j]:
             continue
         new = (gram[:, j] - basis @ basis[j]) / np.sqrt(left)
         basis = np.column_stack([basis, new])
@@ -21,9 +27,9 @@ def kept_columns(gram: np.ndarray, tol: float) -> np.ndarray:
     return keep
 
 
-def solve(gram: np.ndarray, moment: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray]:
+def solve(gram: np.ndarray, moment: np.ndarray, tol: float, raw: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(beta with NaN for dropped columns, kept)."""
-    keep = kept_columns(gram, tol)
+    keep = kept_columns(gram, tol, raw)
     beta = np.full(len(gram), np.nan)
     if keep.any():
         beta[keep] = np.linalg.solve(gram[np.ix_(keep, keep)], moment[keep])

@@ -47,7 +47,7 @@ def felm(formula, data: DataFrame, weights=None, vcov: str | None = None, contro
     found = rows.linear(ybar, means)
     warn_unsettled(found)
     gram = found.gram
-    beta, keep = linalg.solve(gram[1:, 1:], gram[1:, 0], control.collin_tol)
+    beta, keep = found.solved(control.collin_tol)
     b = np.where(keep, beta, 0.0)
     effects = [a.combined([1.0, *(-b)]) for a in found.levels]
     if effects:
@@ -148,20 +148,21 @@ def _irls(rows, prep, fam, control, kind, data, weights, offset, beta_start=None
     # effects are centred loosely while coefficients move, and to the full tolerance before a fit may end
     best, crit = min(control.center_tol, 1e-8), 1.0
     tol = best if fam.name == "tobit" else max(best, 1e-4)
+    # regressors that others give already, before anything is taken out; the first step looks again at what the effects leave
+    first = np.flatnonzero(linalg.kept_columns(rows.raw_products(), control.collin_tol)) if p else np.zeros(0, int)
     for it in range(1, control.iter_max + 1):
         if fam.name == "tobit":
             s = rows.sigma(fam, state)
             fam = replace(fam, sigma=s if s > 0 else 1.0)
-        use = list(range(p)) if keep is None else np.flatnonzero(keep).tolist()
+        use = (first if keep is None else np.flatnonzero(keep)).tolist()
         found = rows.working(fam, state, use, means, tol, warm)
-        b, ok = linalg.solve(found.gram[1:, 1:], found.gram[1:, 0], control.collin_tol)
+        b, ok = found.solved(control.collin_tol)
         if keep is None:
-            keep = ok
-            use = np.flatnonzero(keep).tolist()
-            if not keep.all():
-                g = [0, *[1 + j for j in use]]
+            if not ok.all():
+                g = [0, *(1 + np.flatnonzero(ok)).tolist()]
                 found.levels, found.gram = [a.picked(g) for a in found.levels], found.gram[np.ix_(g, g)]
-            b = b[keep]
+            use, b, keep = first[ok].tolist(), b[ok], np.zeros(p, bool)
+            keep[use] = True
         warm = found.levels or None
         b, full = np.nan_to_num(b), np.zeros(p)
         full[use] = b
