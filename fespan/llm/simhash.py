@@ -216,7 +216,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     roots = connected_components(link_fingerprints(nodes.select("fp"), radius))
     best = nodes.join(roots, nodes.fp == roots.node, "left").groupBy(F.coalesce("root", "fp")).agg(F.min("key").alias("key"))
     best = best if null_ids else best.where(~F.col("key.none"))
-    # a merge join deals the rows by key, which the numbering of repeated rows then needs not do again
-    kept = docs.withColumn(key, keys).join(best.select(F.col("key").alias(key)).hint("merge"), key, "left_semi")
+    # a merge join deals the rows by key, which the numbering of repeated rows then needs not do again; the cast makes both keys one type
+    kept = docs.withColumn(key, keys.cast(best.schema["key"].dataType)).join(best.select(F.col("key").alias(key)).hint("merge"), key, "left_semi")
     place = F.row_number().over(Window.partitionBy(key).orderBy(key))  # over 1 only for repeated rows
     return kept.withColumn(f"{key}n", place).where(F.col(f"{key}n") == 1).drop(key, f"{key}n")
