@@ -85,3 +85,25 @@ def sandwich(p: int, by: str | None = None) -> str:
         "c AS (SELECT i00 * (i00 * m00 + i01 * m01) + i01 * (i00 * m01 + i01 * m11) AS c00, i00 * (i01 * m00 + i11 * m01) + i01 * (i01 * m01 + i11 * m11) AS c01, "
         "i01 * (i01 * m00 + i11 * m01) + i11 * (i01 * m01 + i11 * m11) AS c11 FROM v, q)"
     )
+
+
+def tobit(frame: str, y: str, x: str, fe: str, lower: str, upper: str, steps: int, halvings: int = 20, gain: str = "1e-6") -> str:
+    """WITH clauses that end in `b` (beta, h): the tobit loop with one regressor and one effect. A step is halved until the sum of squares
+    falls by `gain`; once none does, further steps change nothing."""
+    density = lambda v: f"({PHI.format(x=v)})"
+    cdf = lambda v: CDF.format(x=v)
+    out = [f"n0 AS MATERIALIZED (SELECT *, avg(y) OVER () AS eta FROM (SELECT ({y})::DOUBLE AS y, ({x})::DOUBLE AS x0, {fe} AS f0 FROM {frame}))", "c0 AS (SELECT 0.0::DOUBLE AS beta)"]
+    for i in range(steps):
+        out.append(f"s{i} AS MATERIALIZED (SELECT sqrt(avg((y - eta) * (y - eta)) FILTER (WHERE y > {lower} AND y < {upper})) AS s, sum((y - eta) * (y - eta)) AS dev FROM n{i})")
+        out.append(f"u{i} AS (SELECT *, CASE WHEN y <= {lower} THEN ({lower} - eta) / s WHEN y >= {upper} THEN (eta - {upper}) / s END AS v FROM n{i}, s{i})")
+        out.append(f"l{i} AS MATERIALIZED (SELECT *, CASE WHEN v IS NOT NULL THEN {density('v')} / {cdf('v')} END AS r FROM u{i})")
+        out.append(f"w{i} AS (SELECT *, coalesce(r * (r + v), 1.0) / (s * s) AS ww, CASE WHEN v IS NULL THEN y WHEN y <= {lower} THEN eta - s / (r + v) ELSE eta + s / (r + v) END AS z FROM l{i})")
+        out.append(f"d{i} AS MATERIALIZED (SELECT *, z - sum(ww * z) OVER p / sum(ww) OVER p AS tz, x0 - sum(ww * x0) OVER p / sum(ww) OVER p AS t0 FROM w{i} WINDOW p AS (PARTITION BY f0))")
+        out.append(f"g{i} AS MATERIALIZED (SELECT sum(ww * t0 * tz) / sum(ww * t0 * t0) AS b0, sum(ww * t0 * t0) AS h FROM d{i})")
+        out.append(f"e{i} AS MATERIALIZED (SELECT y, x0, f0, eta, z - tz + b0 * t0 - eta AS move, dev FROM d{i}, g{i})")
+        sums = ", ".join(f"sum(pow(y - eta - {0.5**k!r} * move, 2)) AS q{k}" for k in range(halvings))
+        pick = " ".join(f"WHEN (q{k} - dev) / (0.1 + q{k}) <= -{gain} THEN {0.5**k!r}" for k in range(halvings))
+        out.append(f"r{i} AS MATERIALIZED (SELECT CASE {pick} ELSE 0.0 END AS rho FROM (SELECT max(dev) AS dev, {sums} FROM e{i}))")
+        out.append(f"c{i + 1} AS MATERIALIZED (SELECT (1 - rho) * beta + rho * b0 AS beta, g{i}.h FROM c{i}, g{i}, r{i})")
+        out.append(f"n{i + 1} AS MATERIALIZED (SELECT y, x0, f0, eta + rho * move AS eta FROM e{i}, r{i})")
+    return "WITH " + ",\n".join([*out, f"b AS (SELECT * FROM c{steps})"]) + "\n"

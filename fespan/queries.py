@@ -375,7 +375,7 @@ def ape_slopes(spark, d):
     return rounded(fit.ape_table().select("term", "estimate"), "estimate", digits=6)
 
 
-@query()
+@query(steps.tobit("(SELECT *, least(greatest(l_quantity, 5.0), 45.0) AS q FROM lineitem)", "q", "l_discount", "l_suppkey", "5.0", "45.0", 8) + "SELECT 'l_discount' AS term, round(beta, 4) + 0.0 AS estimate, round(1 / sqrt(h), 4) AS std_error FROM b")
 def tobit_reg(spark, d):
     df = items(spark, d).withColumn("q", F.least(F.greatest(F.col("l_quantity"), F.lit(5.0)), F.lit(45.0)))
     return terms(models.fetobit("q ~ l_discount | l_suppkey", df, tobit_lb=5.0, tobit_ub=45.0))
