@@ -1,5 +1,6 @@
 """DuckDB SQL of the queries that SQL can express; each reads the same tables."""
 
+from . import licences
 from .urlfilter import BAD, LEAST, MOST, PRIOR, RULES, SUFFIXES, SURE, TOP
 
 OP1_SUBSTRING = r"""
@@ -80,3 +81,103 @@ r AS (SELECT host, 1 - exp(a * ln({BAD}) + b * ln({1 - BAD}) + lgamma(a + b) - l
 v AS (SELECT *, CASE {rules} END AS best FROM p LEFT JOIN r USING (host))
 SELECT page_id, host, path, string_split(best, ' ')[2] AS rule, coalesce(string_split(best, ' ')[1], CASE WHEN sure >= {SURE} THEN 'block' ELSE 'allow' END) AS verdict FROM v
 """
+
+
+def op4_simhash() -> str:
+    """XXH64 in steps over lists, in 128-bit integers: a rotation by r is a product with 2^r modulo 2^64 - 1."""
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    seed, size = 42, 1 << 64
+
+    def num(n: int) -> str:
+        return f"{n}::UHUGEINT"
+
+    def mul(x: str, n: int) -> str:
+        return f"(({x}) * {num(n)} % {num(size)})"
+
+    def add(x: str, y: str) -> str:
+        return f"((({x}) + ({y})) % {num(size)})"
+
+    def rot(x: str, r: int) -> str:
+        return f"(({x}) * {num(1 << r)} % {num(size - 1)})"
+
+    def lane(acc: str, word: str) -> str:
+        return mul(rot(add(acc, mul(word, p2)), 31), p1)
+
+    def word(at: str, n: int) -> str:
+        return "('0x' || " + " || ".join(f"substr(b, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(n))) + ")::UBIGINT::UHUGEINT"
+
+    def merged(h: str, v: str) -> str:
+        return add(mul(f"xor({h}, {lane(num(0), v)})", p1), num(p4))
+
+    start = ", ".join(num((seed + x) % size) for x in (p1 + p2, p2, 0, -p1))
+    stripes = f"list_reduce([[{start}]] || [[{', '.join(word(f'i + {8 * k}', 8) for k in range(4))}] for i in range(0, n - 31, 32)], lambda v, x: [{', '.join(lane(f'v[{k}]', f'x[{k}]') for k in (1, 2, 3, 4))}])"
+    whole = add(add(rot("v[1]", 1), rot("v[2]", 7)), add(rot("v[3]", 12), rot("v[4]", 18)))
+    for k in (1, 2, 3, 4):
+        whole = merged(whole, f"v[{k}]")
+    eights = f"list_reduce([{add('h', 'n::UHUGEINT')}] || [{word('i', 8)} for i in range(n - n % 32, n - 7, 8)], lambda h, x: {add(mul(rot(f'xor(h, {lane(num(0), chr(120))})', 27), p1), num(p4))})"
+    fours = f"CASE WHEN n % 8 >= 4 THEN {add(mul(rot('xor(h, ' + mul(word('n - n % 8', 4), p1) + ')', 23), p2), num(p3))} ELSE h END"
+    ones = f"list_reduce([h] || [{word('i', 1)} for i in range(n - n % 4, n)], lambda h, x: {mul(rot(f'xor(h, {mul(chr(120), p5)})', 11), p1)})"
+    bits = " + ".join(f"(CASE WHEN 2 * sum((h >> {k}) & 1) > count(*) THEN {1 << k} ELSE 0 END)::UBIGINT" for k in range(64))
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT r, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),
+b AS (SELECT s, b, length(b) // 2 AS n FROM (SELECT s, hex(encode(s)) AS b FROM (SELECT DISTINCT s FROM s))),
+h0 AS MATERIALIZED (SELECT s, b, n, {stripes} AS v FROM b),
+h1 AS MATERIALIZED (SELECT s, b, n, CASE WHEN n >= 32 THEN {whole} ELSE {num((seed + p5) % size)} END AS h FROM h0),
+h2 AS MATERIALIZED (SELECT s, b, n, {eights} AS h FROM h1),
+h3 AS MATERIALIZED (SELECT s, b, n, {fours} AS h FROM h2),
+h4 AS MATERIALIZED (SELECT s, {ones} AS h FROM h3),
+h5 AS MATERIALIZED (SELECT s, {mul(f'xor(h, h // {num(1 << 33)})', p2)} AS h FROM h4),
+h6 AS MATERIALIZED (SELECT s, {mul(f'xor(h, h // {num(1 << 29)})', p3)} AS h FROM h5),
+h7 AS MATERIALIZED (SELECT s, xor(h, h // {num(1 << 32)})::UBIGINT AS h FROM h6),
+p AS (SELECT r, {bits} AS fp FROM s JOIN h7 USING (s) GROUP BY r),
+f AS MATERIALIZED (SELECT doc_id, coalesce(fp, 0)::UBIGINT AS fp FROM d LEFT JOIN p USING (r)),
+n AS MATERIALIZED (SELECT fp, min(doc_id) AS least FROM f GROUP BY fp),
+e AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM n a JOIN n b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= 2),
+c AS (SELECT fp AS a, fp AS b FROM n UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
+SELECT doc_id, lpad(lower(hex(fp)), 16, '0') AS fingerprint, component_id
+FROM f JOIN (SELECT c.a, min(n.least) AS component_id FROM c JOIN n ON c.b = n.fp GROUP BY c.a) g ON f.fp = g.a
+"""
+
+
+def op8_licences() -> str:
+    """Canonical texts by lines and words: notices are lines that match and, as SQL has no lookahead, are no excepted ones."""
+
+    def text(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def texts(x: list[str]) -> str:
+        return "[" + ", ".join(text(v) for v in x) + "]"
+
+    mark = r"^[ \t#*;%/!|>-]*(?:<!--[ \t]*|(?i:dnl|rem)[ \t]+)?"
+    year = r"(?:19|20)[0-9]{2}\b"
+    dated = rf"(?i:(?:portions[ \t]+)?copyright(?:ed)?)[ \t:,]*(?:(?i:by)[ \t]+)?(?:(?i:\(c\)|©|&copy;|[<\[{{(]?(?:yyyy|year)\b)|[<\[{{(]?{year})"
+    sign = rf"(?i:\(c\)|&copy;)[ \t,]*(?:(?i:copyright)\b|{year})|©"
+    holder = r"Copyright[ \t:]+(?:by[ \t]+)?"
+    other = r"(?i:licen[sc]e|notice|holder|owner|law|act|office|right|interest|and|or|statement|treat)(?i:s|y|ies|ed)?\b"
+    reserved = r"(?i:all rights reserved)[ \t.!*/\r]*$"
+
+    def notice(line: str) -> str:
+        has = lambda p: f"regexp_matches({line}, {text(mark + p)})"
+        return f"({has(f'(?:{dated}|{sign}|{reserved})')} OR ({has(holder + chr(92) + 'p{Lu}')} AND NOT {has(holder + other)}))"
+
+    spelt = " ".join(f"WHEN {text(a)} THEN {text(b)}" for a, b in licences.SPELLINGS)
+
+    def canonical(x: str) -> str:
+        kept = f"array_to_string(list_filter(string_split({x}, chr(10)), lambda l: NOT {notice('l')}), chr(10))"
+        return f"array_to_string(list_transform(regexp_extract_all(lower({kept}), {text('[^' + licences.PUNCTUATION[1:])}), lambda w: CASE w {spelt} ELSE w END), ' ')"
+
+    parts = [(n, [""], [t], [""]) for n, t in licences.KNOWN] + licences.standard_texts()
+    known = ",\n".join(f"({text(n)}, {texts(a)}, {texts(b)}, {texts(c)})" for n, a, b, c in parts)
+    return f"""
+WITH k0(license, a, b, c) AS (VALUES {known}),
+k1 AS (SELECT license, a, b, unnest(c) AS c FROM (SELECT license, a, unnest(b) AS b, c FROM (SELECT license, unnest(a) AS a, b, c FROM k0))),
+k2 AS (SELECT license, unnest([t, replace(t, 'https://', 'http://'), replace(t, 'http://', 'https://')]) AS t FROM (SELECT license, a || chr(10) || b || c AS t FROM k1)),
+k AS MATERIALIZED (SELECT sha256({canonical('t')}) AS digest, min(license) AS license FROM (SELECT DISTINCT license, t FROM k2) GROUP BY 1),
+d AS MATERIALIZED (SELECT doc_id, text, sha256({canonical('text')}) AS digest FROM documents),
+l AS (SELECT DISTINCT doc_id, digest, unnest(string_split(text, chr(10))) AS line FROM d),
+m AS MATERIALIZED (SELECT line, license FROM (SELECT line, sha256({canonical('line')}) AS digest FROM (SELECT DISTINCT line FROM l)) JOIN k USING (digest)),
+n AS (SELECT doc_id, digest, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM l JOIN m USING (line) GROUP BY ALL)
+SELECT d.doc_id, d.digest, k.license, coalesce(n.notices, '') AS notices
+FROM d LEFT JOIN k ON d.digest = k.digest LEFT JOIN n ON d.doc_id IS NOT DISTINCT FROM n.doc_id AND d.digest = n.digest
+"""
