@@ -84,4 +84,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring": sql.OP1_SUBSTRING, "op2_decontaminate": sql.OP2_DECONTAMINATE, "op4_simhash": sql.op4_simhash(), "op6_embeddings": sql.OP6_EMBEDDINGS, "op8_licences": sql.op8_licences(), "op9_urls": sql.op9_urls(), "op10_suffix_array": sql.OP10_SUFFIX_ARRAY}
+    return {"op1_substring": sql.OP1_SUBSTRING, "op2_decontaminate": sql.OP2_DECONTAMINATE, "op4_simhash": sql.op4_simhash(), "op6_embeddings": sql.OP6_EMBEDDINGS, "op7_mixing": sql.op7_mixing(), "op8_licences": sql.op8_licences(), "op9_urls": sql.op9_urls(), "op10_suffix_array": sql.OP10_SUFFIX_ARRAY}

@@ -1,6 +1,8 @@
 """DuckDB SQL of the queries that SQL can express; each reads the same tables."""
 
-from . import licences
+import re
+
+from . import licences, mixing
 from .urlfilter import BAD, LEAST, MOST, PRIOR, RULES, SUFFIXES, SURE, TOP
 
 OP1_SUBSTRING = r"""
@@ -83,54 +85,82 @@ SELECT page_id, host, path, string_split(best, ' ')[2] AS rule, coalesce(string_
 """
 
 
-def op4_simhash() -> str:
-    """XXH64 in steps over lists, in 128-bit integers: a rotation by r is a product with 2^r modulo 2^64 - 1."""
-    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
-    seed, size = 42, 1 << 64
+P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+SIZE = 1 << 64
+
+
+def _num(n: int) -> str:
+    return f"{n}::UHUGEINT"
+
+
+def _mul(x: str, n: int) -> str:
+    return f"(({x}) * {_num(n)} % {_num(SIZE)})"
+
+
+def _add(x: str, y: str) -> str:
+    return f"((({x}) + ({y})) % {_num(SIZE)})"
+
+
+def _rot(x: str, r: int) -> str:
+    """A rotation by r is a product with 2^r modulo 2^64 - 1."""
+    return f"(({x}) * {_num(1 << r)} % {_num(SIZE - 1)})"
+
+
+def _lane(acc: str, word: str) -> str:
+    return _mul(_rot(_add(acc, _mul(word, P2)), 31), P1)
+
+
+def _let(x: str, body: str) -> str:
+    """body, in which y stands for x."""
+    return f"list_transform([{x}], lambda y: {body})[1]"
 
-    def num(n: int) -> str:
-        return f"{n}::UHUGEINT"
 
-    def mul(x: str, n: int) -> str:
-        return f"(({x}) * {num(n)} % {num(size)})"
+def _final(x: str) -> str:
+    x = _let(x, _mul(f"xor(y, y // {_num(1 << 33)})", P2))
+    x = _let(x, _mul(f"xor(y, y // {_num(1 << 29)})", P3))
+    return _let(x, f"xor(y, y // {_num(1 << 32)})")
 
-    def add(x: str, y: str) -> str:
-        return f"((({x}) + ({y})) % {num(size)})"
 
-    def rot(x: str, r: int) -> str:
-        return f"(({x}) * {num(1 << r)} % {num(size - 1)})"
+def _hash_long(x: str, seed: str) -> str:
+    return _final(_add(_mul(_rot(f"xor({_add(seed, _num((P5 + 8) % SIZE))}, {_lane(_num(0), x)})", 27), P1), _num(P4)))
 
-    def lane(acc: str, word: str) -> str:
-        return mul(rot(add(acc, mul(word, p2)), 31), p1)
 
-    def word(at: str, n: int) -> str:
-        return "('0x' || " + " || ".join(f"substr(b, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(n))) + ")::UBIGINT::UHUGEINT"
+def _hash_int(n: int, seed: str) -> str:
+    return _final(_add(_mul(_rot(f"xor({_add(seed, _num((P5 + 4) % SIZE))}, {_num(n * P1 % SIZE)})", 23), P2), _num(P3)))
 
-    def merged(h: str, v: str) -> str:
-        return add(mul(f"xor({h}, {lane(num(0), v)})", p1), num(p4))
 
-    start = ", ".join(num((seed + x) % size) for x in (p1 + p2, p2, 0, -p1))
-    stripes = f"list_reduce([[{start}]] || [[{', '.join(word(f'i + {8 * k}', 8) for k in range(4))}] for i in range(0, n - 31, 32)], lambda v, x: [{', '.join(lane(f'v[{k}]', f'x[{k}]') for k in (1, 2, 3, 4))}])"
-    whole = add(add(rot("v[1]", 1), rot("v[2]", 7)), add(rot("v[3]", 12), rot("v[4]", 18)))
+def _xxh64(source: str, key: str) -> str:
+    """CTEs that end in x5 (key, h): the XXH64 of the bytes that b holds in hex, with seed, for the rows (key, b, seed) of source;
+    128-bit integers, in steps over lists."""
+
+    def word(text: str, at: str, n: int) -> str:
+        return "('0x' || " + " || ".join(f"substr({text}, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(n))) + ")::UBIGINT::UHUGEINT"
+
+    start = ", ".join(_add("seed", _num(x % SIZE)) for x in (P1 + P2, P2, 0, -P1))
+    stripes = f"list_reduce([[{start}]] || [[{', '.join(word('q', str(8 * k), 8) for k in range(4))}] for q in regexp_extract_all(b, '.{{64}}')], lambda v, x: [{', '.join(_lane(f'v[{k}]', f'x[{k}]') for k in (1, 2, 3, 4))}])"
+    whole = _add(_add(_rot("v[1]", 1), _rot("v[2]", 7)), _add(_rot("v[3]", 12), _rot("v[4]", 18)))
     for k in (1, 2, 3, 4):
-        whole = merged(whole, f"v[{k}]")
-    eights = f"list_reduce([{add('h', 'n::UHUGEINT')}] || [{word('i', 8)} for i in range(n - n % 32, n - 7, 8)], lambda h, x: {add(mul(rot(f'xor(h, {lane(num(0), chr(120))})', 27), p1), num(p4))})"
-    fours = f"CASE WHEN n % 8 >= 4 THEN {add(mul(rot('xor(h, ' + mul(word('n - n % 8', 4), p1) + ')', 23), p2), num(p3))} ELSE h END"
-    ones = f"list_reduce([h] || [{word('i', 1)} for i in range(n - n % 4, n)], lambda h, x: {mul(rot(f'xor(h, {mul(chr(120), p5)})', 11), p1)})"
+        whole = _add(_mul(f"xor({whole}, {_lane(_num(0), f'v[{k}]')})", P1), _num(P4))
+    eights = f"list_reduce([{_add('h', 'n::UHUGEINT')}] || [{word('b', 'i', 8)} for i in range(0, n % 32 - 7, 8)], lambda h, x: {_add(_mul(_rot(f'xor(h, {_lane(_num(0), chr(120))})', 27), P1), _num(P4))})"
+    fours = f"CASE WHEN n % 8 >= 4 THEN {_add(_mul(_rot('xor(h, ' + _mul(word('b', 'n % 32 - n % 8', 4), P1) + ')', 23), P2), _num(P3))} ELSE h END"
+    ones = f"list_reduce([h] || [{word('b', 'i', 1)} for i in range(n % 32 - n % 4, n % 32)], lambda h, x: {_mul(_rot(f'xor(h, {_mul(chr(120), P5)})', 11), P1)})"
+    return f"""x0 AS MATERIALIZED (SELECT {key}, b, n, seed, {stripes} AS v FROM (SELECT *, length(b) // 2 AS n FROM {source})),
+x1 AS MATERIALIZED (SELECT {key}, substr(b, 2 * (n - n % 32) + 1) AS b, n, CASE WHEN n >= 32 THEN {whole} ELSE {_add('seed', _num(P5))} END AS h FROM x0),
+x2 AS MATERIALIZED (SELECT {key}, b, n, {eights} AS h FROM x1),
+x3 AS MATERIALIZED (SELECT {key}, b, n, {fours} AS h FROM x2),
+x4 AS MATERIALIZED (SELECT {key}, {ones} AS h FROM x3),
+x5 AS MATERIALIZED (SELECT {key}, {_final('h')} AS h FROM x4)"""
+
+
+def op4_simhash() -> str:
     bits = " + ".join(f"(CASE WHEN 2 * sum((h >> {k}) & 1) > count(*) THEN {1 << k} ELSE 0 END)::UBIGINT" for k in range(64))
     return f"""
 WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS MATERIALIZED (SELECT r, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),
-b AS (SELECT s, b, length(b) // 2 AS n FROM (SELECT s, hex(encode(s)) AS b FROM (SELECT DISTINCT s FROM s))),
-h0 AS MATERIALIZED (SELECT s, b, n, {stripes} AS v FROM b),
-h1 AS MATERIALIZED (SELECT s, b, n, CASE WHEN n >= 32 THEN {whole} ELSE {num((seed + p5) % size)} END AS h FROM h0),
-h2 AS MATERIALIZED (SELECT s, b, n, {eights} AS h FROM h1),
-h3 AS MATERIALIZED (SELECT s, b, n, {fours} AS h FROM h2),
-h4 AS MATERIALIZED (SELECT s, {ones} AS h FROM h3),
-h5 AS MATERIALIZED (SELECT s, {mul(f'xor(h, h // {num(1 << 33)})', p2)} AS h FROM h4),
-h6 AS MATERIALIZED (SELECT s, {mul(f'xor(h, h // {num(1 << 29)})', p3)} AS h FROM h5),
-h7 AS MATERIALIZED (SELECT s, xor(h, h // {num(1 << 32)})::UBIGINT AS h FROM h6),
-p AS (SELECT r, {bits} AS fp FROM s JOIN h7 USING (s) GROUP BY r),
+t AS (SELECT s, hex(encode(s)) AS b, 42::UHUGEINT AS seed FROM (SELECT DISTINCT s FROM s)),
+{_xxh64("t", "s")},
+x AS MATERIALIZED (SELECT s, h::UBIGINT AS h FROM x5),
+p AS (SELECT r, {bits} AS fp FROM s JOIN x USING (s) GROUP BY r),
 f AS MATERIALIZED (SELECT doc_id, coalesce(fp, 0)::UBIGINT AS fp FROM d LEFT JOIN p USING (r)),
 n AS MATERIALIZED (SELECT fp, min(doc_id) AS least FROM f GROUP BY fp),
 e AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM n a JOIN n b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= 2),
@@ -140,6 +170,65 @@ FROM f JOIN (SELECT c.a, min(n.least) AS component_id FROM c JOIN n ON c.b = n.f
 """
 
 
+def op7_mixing(seed: int = 17, levels: int = 3) -> str:
+    """Targets by the sources' order of stopping; then three levels of the tree, enough for FAN ** 3 rows (a level too many changes
+    nothing). Rows that repeat id, source and text could be told apart by nothing and are not expected."""
+    fan, half = mixing.FAN, _num(1 << 63)
+
+    def uniform(h: str) -> str:
+        return f"(({h}) % {_num(1 << 40)})::DOUBLE / {1 << 40}::DOUBLE"
+
+    one = "1::DOUBLE"
+    next_a = f"CASE WHEN to_a THEN CASE WHEN ({one} - pa) * sa <= pb * sb THEN {one} ELSE pa + ga / sa END ELSE CASE WHEN pa * sa <= ({one} - pb) * sb THEN 0::DOUBLE ELSE pa - gb / sa END END"
+    next_b = f"CASE WHEN to_a THEN CASE WHEN pb * sb <= ({one} - pa) * sa THEN 0::DOUBLE ELSE pb - ga / sb END ELSE CASE WHEN ({one} - pb) * sb <= pa * sa THEN {one} ELSE pb + gb / sb END END"
+
+    def named(x: str) -> str:
+        """The short names above as fields of the fold's a and x, and of y."""
+        for short, full in (("to_a", "(x['draw'] * (y['ga'] + y['gb']) < y['gb'])"), ("pa", "a['p']"), ("pb", "x['p']"), ("sa", "a['size']"), ("sb", "x['size']"), ("ga", "y['ga']"), ("gb", "y['gb']")):
+            x = re.sub(rf"(?<!['\w]){short}(?!['\w])", lambda _, full=full: full, x)
+        return x
+
+    gains = named(f"{{'ga': least(({one} - pa) * sa, pb * sb), 'gb': least(pa * sa, ({one} - pb) * sb)}}")
+    moved = _let(gains, f"{{'a': {named(next_a)}, 'b': {named(next_b)}}}")
+    ended = {k: f"(y['{k}'] <= 0 OR y['{k}'] >= 1)" for k in "ab"}
+    done = "a['done']" + "".join(f" || CASE WHEN {ended[k]} THEN [{{'r': {v}['r'], 'extra': y['{k}']::INTEGER}}] ELSE [] END" for k, v in (("a", "a"), ("b", "x")))
+    open_row = {f: f"CASE WHEN NOT {ended['a']} THEN {pa} WHEN NOT {ended['b']} THEN {pb} END" for f, pa, pb in (("r", "a['r']", "x['r']"), ("size", "a['size']", "x['size']"), ("p", "y['a']", "y['b']"), ("draw", "a['draw']", "x['draw']"))}
+    paired = _let(moved, "{'done': " + done + "".join(f", '{f}': {v}" for f, v in open_row.items()) + "}")
+    step = f"CASE WHEN a['r'] IS NULL THEN {{'done': a['done'], 'r': x['r'], 'size': x['size'], 'p': x['p'], 'draw': x['draw']}} ELSE {paired} END"
+    tree, parts, buckets = [], [], f"greatest(1, ceil(n / {fan})::BIGINT)"
+    for k in range(levels):
+        h, draw = _hash_int(k, _hash_int(seed, "own")), uniform(_hash_int(k, _hash_int(seed + 1, "own")))
+        signed = f"(b::HUGEINT - CASE WHEN b >= {half} THEN {SIZE}::HUGEINT ELSE 0::HUGEINT END)"
+        tree.append(f"""g{k} AS MATERIALIZED (SELECT source, r, size, p, h, draw, (({signed} % buckets) + buckets) % buckets AS bucket
+  FROM (SELECT source, r, size::DOUBLE AS size, p, {h} AS h, {draw} AS draw, {_hash_int(seed, 'own')} AS b, (SELECT {buckets} FROM total) AS buckets FROM o{k})),
+z{k} AS MATERIALIZED (SELECT source, list_reduce(list({{'done': []::STRUCT(r BIGINT, extra INTEGER)[], 'r': r, 'size': size, 'p': p, 'draw': draw}} ORDER BY xor(h, {half})), lambda a, x: {step}) AS z FROM g{k} GROUP BY source, bucket),
+o{k + 1} AS MATERIALIZED (SELECT z{k}.source, rows.r, rows.size, z['p'] AS p, rows.own FROM z{k} JOIN rows ON rows.r = z['r'])""")
+        parts.append(f"SELECT e['r'] AS r, e['extra'] AS extra FROM (SELECT unnest(z['done']) AS e FROM z{k})")
+        buckets = f"ceil({buckets} / {fan})::BIGINT"
+    last = uniform(_hash_int(seed + 2, "own"))
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+total AS (SELECT count(*) AS n FROM d),
+i AS MATERIALIZED (SELECT r, source, text, CASE WHEN doc_id IS NULL THEN {_num(42)} ELSE {_hash_long(f"((doc_id::HUGEINT + {SIZE}::HUGEINT) % {SIZE}::HUGEINT)::UHUGEINT", _num(42))} END AS seed FROM d),
+q AS MATERIALIZED (SELECT r, 0 AS part, hex(encode(source)) AS b, seed FROM i WHERE source IS NOT NULL),
+{_xxh64("q", "r")},
+i2 AS MATERIALIZED (SELECT i.r, text, coalesce(x5.h, seed) AS seed FROM i LEFT JOIN x5 USING (r)),
+q2 AS MATERIALIZED (SELECT r, hex(encode(text)) AS b, seed FROM i2 WHERE text IS NOT NULL),
+{re.sub(r"x([0-5])(?![0-9A-Fa-f])", r"w_\1", _xxh64("q2", "r"))},
+u AS MATERIALIZED (SELECT i2.r, {_hash_long("coalesce(w_5.h, seed)", _num(42))} AS own FROM i2 LEFT JOIN w_5 USING (r)),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, source_size * 3::DOUBLE AS cap, ([1, 2, 3])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1]::DOUBLE AS weight FROM s0),
+s2 AS (SELECT *, cap / weight AS stops, sum(source_size) OVER () AS whole FROM s1),
+s3 AS (SELECT *, (whole - coalesce(sum(cap) OVER (ORDER BY stops, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY stops, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
+s4 AS MATERIALIZED (SELECT source, source_size, least(cap, coalesce((SELECT level FROM s3 WHERE level <= stops ORDER BY stops, source NULLS LAST LIMIT 1) * weight, cap)) AS target FROM s3),
+rows AS MATERIALIZED (SELECT d.r, d.doc_id, d.source, d.size, source_size, target, own, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM d JOIN u USING (r) JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
+o0 AS MATERIALIZED (SELECT source, r, size, ratio - floor(ratio) AS p, own FROM rows WHERE ratio > floor(ratio) AND size > 0),
+{", ".join(tree)},
+t AS ({" UNION ALL ".join(parts)} UNION ALL SELECT r, ({last} < p)::INTEGER FROM o{levels})
+SELECT doc_id, source, size, source_size, target, (size * (floor(ratio)::BIGINT + coalesce(t.extra, 0)))::BIGINT AS taken FROM rows LEFT JOIN t USING (r)
+"""
+
+
 def op8_licences() -> str:
     """Canonical texts by lines and words: notices are lines that match and, as SQL has no lookahead, are no excepted ones."""
 

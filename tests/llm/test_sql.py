@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from fespan.llm import licences, queries
+from fespan.llm import licences, mixing, queries
 
 
 def texts():
@@ -30,8 +30,9 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["op1_substring", "op4_simhash", "op8_licences", "op10_suffix_array"])
-def test_sql(spark, folder, name):
+@pytest.mark.parametrize("name", ["op1_substring", "op4_simhash", "op7_mixing", "op8_licences", "op10_suffix_array"])
+def test_sql(spark, folder, monkeypatch, name):
+    monkeypatch.setattr(mixing, "FAN", 8)  # more than one level of few rows
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
     df = queries.queries()[name](spark, folder)
